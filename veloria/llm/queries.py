@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veloria.llm import decontaminate, language_id, license_scan, toxicity
+from veloria.llm import bpe, decontaminate, language_id, license_scan, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_bpe": bpe.query,
         "op3_toxicity": toxicity.query,
+        "op7_substring_dedup": substring_dedup.query,
         "op8_decontamination": decontaminate.query,
         "op9_language_id": language_id.query,
         "op10_license_scan": license_scan.query,
