@@ -197,3 +197,13 @@ def unpack_text(data: bytes) -> pa.Array:
 
 def joined(answers: list[tuple[int, bytes]]) -> list[bytes]:
     return [payload for _, payload in answers]
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the cluster's shared checkpoint folder."""
+    import tempfile
+
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:  # a session of tests that names no folder
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veloria.llm import bpe, decontaminate, language_id, license_scan, substring_dedup, toxicity
+from veloria.llm import bpe, decontaminate, language_id, license_scan, lm_score, near_dup, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": bpe.query,
+        "op2_lm_score": lm_score.query,
         "op3_toxicity": toxicity.query,
+        "op4_near_dup": near_dup.query,
         "op7_substring_dedup": substring_dedup.query,
         "op8_decontamination": decontaminate.query,
         "op9_language_id": language_id.query,
