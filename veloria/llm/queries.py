@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veloria.llm import bpe, decontaminate, language_id, license_scan, lm_score, near_dup, substring_dedup, toxicity
+from veloria.llm import bpe, decontaminate, language_id, license_scan, lm_score, near_dup, quality, sharding, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_lm_score": lm_score.query,
         "op3_toxicity": toxicity.query,
         "op4_near_dup": near_dup.query,
+        "op5_sharding": sharding.query,
+        "op6_quality": quality.query,
         "op7_substring_dedup": substring_dedup.query,
         "op8_decontamination": decontaminate.query,
         "op9_language_id": language_id.query,
