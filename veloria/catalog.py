@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: list = []
+from veloria.plans import ingest, panel
+
+_MODULES = [ingest, panel]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
