@@ -21,6 +21,8 @@ answers would not fit and ``finish`` raises instead of guessing.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,13 +33,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: Documents in a block at most, whatever their length.
 BLOCK_ROWS = 100_000
 #: Buckets for each shuffle partition.
 BUCKETS_PER_PARTITION = 3
 
 
+def trim() -> None:
+    """Gives freed memory back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def pack(data: bytes | np.ndarray, level: int = 1) -> bytes:
     return zstandard.ZstdCompressor(level=level).compress(data if isinstance(data, bytes) else np.ascontiguousarray(data).tobytes())
 
@@ -101,7 +110,7 @@ def _cut(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[int, pa
             upto = int(np.searchsorted(ends, before + BLOCK_BYTES - size, "right"))
             upto = min(max(upto, at if held else at + 1), at + BLOCK_ROWS - rows, batch.num_rows)
             if upto > at:
-                held.append(batch.slice(at, upto - at))
+                held.append(batch.take(pa.array(np.arange(at, upto))) if upto - at < batch.num_rows else batch)
                 size, rows, at = size + int(ends[upto - 1] - before), rows + upto - at, upto
             if at < batch.num_rows:
                 yield (partition << 32) | ordinal, pa.Table.from_batches(held)
@@ -124,6 +133,8 @@ def ask(docs: DataFrame, text: str, also: list[str], extract: Callable[[pa.Table
         for block, table in _cut(batches, text):
             if rows := [(block, bucket, payload) for bucket, payload in extract(table)]:
                 yield _rows(rows)
+            del table, rows
+            trim()
 
     return docs.select(*dict.fromkeys([*also, text])).mapInArrow(run, _ASKED)
 
@@ -150,13 +161,18 @@ def meet(docs: DataFrame, text: str, keep: list[str], answers: DataFrame, prepar
             with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                 writer.write_table(own)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([prepare(table)], pa.binary())], names=["block", "rows", "payload"])
+            del table, own, sink
+            trim()
 
     def join(left, right):
         if left.num_rows != 1:
             raise RuntimeError("the source dealt its rows differently when it was read again; write it to a table first")
         own = pa.ipc.open_stream(left.column("rows")[0].as_py()).read_all()
         lists = sorted(zip(right.column("bucket").to_pylist(), right.column("payload").to_pylist(), strict=True))
-        return conclude(left.column("block")[0].as_py(), own, left.column("payload")[0].as_py(), lists)
+        out = conclude(left.column("block")[0].as_py(), own, left.column("payload")[0].as_py(), lists)
+        del own, lists
+        trim()
+        return out
 
     source = docs.select(*dict.fromkeys([*keep, text]))
     return source.mapInArrow(run, packed).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(join, schema)

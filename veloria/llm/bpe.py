@@ -86,14 +86,15 @@ def pretokens(piece: Slice) -> tuple[np.ndarray, np.ndarray]:
     return begins, np.diff(np.searchsorted(begins, piece.offsets))
 
 
-def _block_hashes(column: pa.ChunkedArray) -> tuple[np.ndarray, list[np.ndarray], list[tuple[Slice, np.ndarray, np.ndarray]]]:
+def _block_hashes(column: pa.ChunkedArray) -> tuple[np.ndarray, list[np.ndarray], list[tuple[Slice, np.ndarray]]]:
+    """Hashes of all pre-tokens, their number in each document, and their bounds in each slice."""
     hashes, counts, pieces = [], [], []
     for piece in slices(column):
         begins, per = pretokens(piece)
-        ends = np.append(begins[1:], len(piece.buf)) if len(begins) else begins
-        hashes.append(hash_spans(piece.buf, begins, ends))
+        bounds = np.append(begins, len(piece.buf))
+        hashes.append(hash_spans(piece.buf, bounds[:-1], bounds[1:]))
         counts.append(per)
-        pieces.append((piece, begins, ends))
+        pieces.append((piece, bounds.astype(np.int32) if len(piece.buf) < 1 << 31 else bounds))
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), counts, pieces
 
 
@@ -111,14 +112,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, text: str = "text", keep
     def extract(table: pa.Table) -> Iterator[tuple[int, bytes]]:
         hashes, _, pieces = _block_hashes(table.column(text))
         distinct, first = np.unique(hashes, return_index=True)
-        size = np.cumsum([len(b) for _, b, _ in pieces])
+        del hashes
+        size = np.cumsum([len(b) - 1 for _, b in pieces])
         owner = np.searchsorted(size, first, "right")
         words: list[bytes] = [b""] * len(distinct)
-        for k, (piece, begins, ends) in enumerate(pieces):
+        for k, (piece, ends) in enumerate(pieces):
             own = np.flatnonzero(owner == k)
-            place = first[own] - (size[k] - len(begins))
+            place = first[own] - (size[k] - len(ends) + 1)
             raw = piece.buf.tobytes()
-            for slot, a, b in zip(own.tolist(), begins[place].tolist(), ends[place].tolist(), strict=True):
+            for slot, a, b in zip(own.tolist(), ends[place].tolist(), ends[place + 1].tolist(), strict=True):
                 words[slot] = raw[a:b]
         bounds = blocks.bucket_bounds(distinct, buckets)
         for bucket in range(buckets):
@@ -145,7 +147,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, text: str = "text", keep
             yield block, blocks.frame(blocks.pack_planes(np.array([len(i) for i in own], np.uint32)), blocks.pack_planes(np.array([x for i in own for x in i], np.uint32)))
 
     def prepare(table: pa.Table) -> bytes:
-        hashes, counts, _ = _block_hashes(table.column(text))
+        hashes, counts = _block_hashes(table.column(text))[:2]
         _, place = np.unique(hashes, return_inverse=True)
         return blocks.frame(np.concatenate(counts).astype(np.int64).tobytes(), blocks.pack_planes(place.astype(np.uint32)))
 
@@ -184,7 +186,7 @@ def decode(docs: DataFrame, ranks: dict[bytes, int], *, ids: str = "ids", keep:
 
     def make(cols: dict[str, pa.Array]) -> dict[str, pa.Array]:
         token = shared.value.__getitem__
-        return {"decoded": pa.array([b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())) for x in cols[ids].to_pylist()], pa.binary())}
+        return {"decoded": pa.array([b"".join(map(token, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in cols[ids]], pa.binary())}
 
     return arrowmap.append(docs, [ids], [c for c in (keep if keep is not None else docs.columns)], arrowmap.schema("decoded binary"), make)
 

@@ -69,25 +69,26 @@ def _pairs(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.
 
     A code holds the context, the nearest byte first, and the symbol, in 9 bits each.
     """
-    at = np.flatnonzero(symbols != PAD)
+    at = np.flatnonzero(symbols != PAD).astype(np.int32)
     if not len(at):
         return np.zeros(0, _U), at, np.zeros(0, np.int64)
     alphabet = np.flatnonzero(np.bincount(symbols, minlength=258))
-    dense = np.zeros(258, np.int32)
+    dense = np.zeros(258, np.int16)
     dense[alphabet] = np.arange(len(alphabet))
     s, size = dense[symbols], len(alphabet)
-    rank, codes = np.zeros(len(at), np.int64), np.zeros(1, _U)
+    rank, codes = np.zeros(len(at), np.int32), np.zeros(1, _U)
     for back in (*range(1, depth + 1), 0):
-        key = rank * size + s[at - back]
-        if len(codes) * size <= 1 << 27:
+        key = rank.astype(np.int32 if len(codes) * size < 1 << 31 else np.int64) * size + s[at - back]
+        if len(codes) * size <= 1 << 26:
             seen = np.zeros(len(codes) * size, bool)
             seen[key] = True
             distinct = np.flatnonzero(seen)
             place = np.zeros(len(seen), np.int32)
             place[distinct] = np.arange(len(distinct), dtype=np.int32)
-            rank = place[key].astype(np.int64)
+            rank = place[key]
         else:
             distinct, rank = np.unique(key, return_inverse=True)
+            rank = rank.astype(np.int32)
         codes = (codes[distinct // size] << _U(9)) | alphabet[distinct % size].astype(_U)
     return codes, at, rank
 
