@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veloria.plans import ingest, panel
+from veloria.plans import evaluation, ingest, panel
 
-_MODULES = [ingest, panel]
+_MODULES = [ingest, panel, evaluation]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
