@@ -11,13 +11,14 @@ table key.  m x m tables thus need 2 x m x K minhashes instead of
 missed with a probability of at most ``MISS``.
 
 Documents that share a key are candidates.  All pairs of a bucket are never
-made.  In star rounds each bucket has one leader (the least id, then the
-least of a hash), which is compared with the members that are not yet in its
-component; buckets within one component are done.  What is left, members of
-different components of one bucket, is compared pair by pair under a sketch
-(the minhashes' low bits, which are all in the join's condition), so only
-likely links leave the join.  Each link is confirmed on the full shingle
-sets.  Components come from alternating stars.
+made.  Each bucket has one leader, the least id, which is compared with the
+members; buckets within one component are then done.  Members of the other
+buckets can still be linked with each other: they go through an exact
+prefix-filter join, rare shingles first, which loses no link and, unlike
+their buckets, does not bring together what only shares a common passage.
+Sizes and a sketch (the minhashes' low bits) sort out unlikely pairs, and
+each link is confirmed on the full shingle sets.  Components come from
+alternating stars.
 
 Defined results: an empty set (null, empty or wordless text) is linked with
 nothing; fewer words than a shingle make one shingle; repeated rows with one
@@ -30,15 +31,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veloria.llm import arrowmap
-from veloria.llm.blocks import stored
+from veloria.llm.blocks import pack_planes, stored, unpack_planes
 from veloria.llm.components import components
 from veloria.llm.textbytes import LOWER, SPACE, Slice, hash_spans, mix, ngram_hashes, slices
 
@@ -53,10 +55,8 @@ def tuples_needed(threshold: float) -> int:
     return math.ceil(math.log(MISS / 2) / math.log(1 - threshold**K))
 
 
-def sketch_limit(threshold: float, m: int) -> int:
-    """Differing sketch bits of a pair at the threshold: the mean and 5.5 deviations."""
-    n, d = 2 * m * K, 1 - threshold
-    return math.ceil(1.5 * n * d + 5.5 * math.sqrt(n * (0.75 * d + 2.25 * d * (1 - d))))
+#: Bins of the sketch, and 64-bit words that hold them: four planes of one bit a bin.
+BINS, WORDS = 512, 32
 
 
 def _sets(piece: Slice, shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -105,10 +105,14 @@ def _signed(docs: DataFrame, key: str, text: str, shingle: int, m: int) -> DataF
                     low[some, j] = np.minimum.reduceat((h ^ _SEEDS[j + 1024]) * _SEEDS[j], at)
             low = mix(low)
             tuples.append(mix(np.add.reduce(low.reshape(len(piece), 2 * m, K) * _SEEDS[:K], axis=2)))
-            bits = np.zeros((len(piece), (2 * m * K * 3 + 63) // 64 * 64), np.uint8)
-            for b in range(3):
-                bits[:, b : 2 * m * K * 3 : 3] = (low >> _U(b)) & _U(1)
-            sketches.append(np.packbits(bits, axis=1).view(np.int64))
+            # One-permutation sketch: each bin's least hash, as four bits; an empty bin is 0.
+            bins = np.zeros((len(piece), BINS), np.uint8)
+            if len(h):
+                owner = np.repeat(np.arange(len(piece)), n)
+                cell = owner * BINS + (h >> _U(55)).astype(np.int64)
+                least = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+                bins.reshape(-1)[cell[least]] = 1 + (mix(h[least]) % _U(15)).astype(np.uint8)
+            sketches.append(np.concatenate([np.packbits((bins >> p) & 1, axis=1) for p in range(4)], axis=1).view(np.int64))
             n_all.append(n)
             s1.append(sums[0].view(np.int64))
             s2.append(sums[1].view(np.int64))
@@ -150,26 +154,88 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     return arrowmap.append(joined, ["_su", "_sv"], ["u", "v"], T.StructType([T.StructField("_ok", T.BooleanType())]), make).filter("_ok").select("u", "v")
 
 
-def _near(limit: int, a: str, b: str, words: int):
-    """Few sketch bits differ; plain JVM arithmetic."""
-    total = F.lit(0)
-    for w in range(words):
-        total = total + F.bit_count(F.col(f"{a}{w}").bitwiseXOR(F.col(f"{b}{w}")))
-    return total <= limit
+def _near(num: int, a: str, b: str, nu: str, nv: str):
+    """Whether the sketches differ in no more bins than the mean and five deviations of a pair at the threshold.
+
+    Bins sample the union without replacement, so the deviation also shrinks
+    with the share of the union that the filled bins are.  JVM arithmetic.
+    """
+    differ, filled, t, plane = F.lit(0), F.lit(0), num / 100, BINS // 64
+    for w in range(plane):
+        x, y = [F.col(f"{a}{w + plane * p}") for p in range(4)], [F.col(f"{b}{w + plane * p}") for p in range(4)]
+        differ = differ + F.bit_count(reduce(Column.bitwiseOR, [c.bitwiseXOR(d) for c, d in zip(x, y, strict=True)]))
+        filled = filled + F.bit_count(reduce(Column.bitwiseOR, [*x, *y]))
+    left = F.greatest(F.lit(0.0), 1 - filled * (1 + t) / (F.col(nu) + F.col(nv)))
+    return differ <= (1 - t) * filled + 5 * F.sqrt(t * (1 - t) * filled * left) + 2
+
+
+_COUNTERS, _CHUNK = 1 << 18, 1 << 12
+
+
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """How often shingles fall on each of a fixed number of counters."""
+
+    def count(batches):
+        total = np.zeros(_COUNTERS, np.int64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                np.add.at(total, (np.frombuffer(x, _U) % _U(_COUNTERS)).astype(np.int64), 1)
+        parts = total.reshape(-1, _CHUNK)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts)), pa.int64()), pa.array([pack_planes(p) for p in parts], pa.binary())], names=["part", "counts"])
+
+    def add(key, table):
+        total = np.sum([unpack_planes(x, np.int64) for x in table.column("counts").to_pylist()], axis=0)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([pack_planes(total)], pa.binary())})
+
+    rows = sets.select("_set").mapInArrow(count, "part long, counts binary").groupBy("part").applyInArrow(add, "part long, counts binary").collect()
+    out = np.zeros((_COUNTERS // _CHUNK, _CHUNK), np.int64)  # the model's size does not depend on the data
+    for r in rows:
+        out[r.part] = unpack_planes(bytes(r.counts), np.int64)
+    return out.reshape(-1)
+
+
+def _prefixes(sets: DataFrame, num: int) -> DataFrame:
+    """Tokens of each set's prefix, for a self-join that loses no pair of num percent.
+
+    In an order that is the same for all, the longer of two similar sets has a
+    common token in its first n - ceil(t n) + 1, the shorter in its first
+    n - ceil(2 t n / (1 + t)) + 1 (``short``).  Rare tokens come first, so what
+    many documents share brings few together.  ``free`` is the number of
+    tokens that some other set may have.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(_rarity(sets))
+
+    def make(batches):
+        for batch in batches:
+            out = [[], [], [], [], []]
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h = np.frombuffer(x, _U)
+                often = shared.value[(h % _U(_COUNTERS)).astype(np.int64)]
+                n, alone = len(h), int((often == 1).sum())
+                first = h[np.lexsort((h, often))[: n - -(-num * n // 100) + 1]]
+                first = first[alone:]  # no other set has these
+                short = n - -(-2 * num * n // (100 + num)) + 1
+                for part, own in zip(out, (np.full(len(first), i), first.view(np.int64), np.full(len(first), n), np.full(len(first), n - alone), np.arange(alone, alone + len(first)) < short), strict=True):
+                    part.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)) for part in out], names=["_id", "t", "n", "free", "short"])
+
+    rows = stored(sets.select("_id", "_set").mapInArrow(make, "_id long, t long, n long, free long, short boolean"))
+    several = rows.groupBy("t").agg(F.count("*").alias("k"), F.bool_or("short").alias("any")).filter("k > 1 and any").select("t")
+    return rows.join(several, "t")
 
 
 def find_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, threshold: float = 0.8, keep: list[str] | None = None) -> DataFrame:
     """docs (columns ``keep``) with n_shingles, component_id and kept."""
     m = tuples_needed(threshold)
-    limit, words, num = sketch_limit(threshold, m), (2 * m * K * 3 + 63) // 64, round(threshold * 100)
+    num = round(threshold * 100)
     signed = stored(_signed(docs, key, text, shingle, m))
     some = signed.filter(F.col(key).isNotNull() & (F.col("_n") > 0))
     classes = some.groupBy("_s1", "_s2").agg(F.min(key).alias("_id"), F.first("_n").alias("_n"), F.first("_a").alias("_a"), F.first("_b").alias("_b"), F.first("_k").alias("_k"))
     classes = stored(classes)
-    sketch = [F.col("_k")[w].alias(f"k{w}") for w in range(words)]
+    sketch = [F.col("_k")[w].alias(f"k{w}") for w in range(WORDS)]
 
     tuple_a = classes.select("_id", "_n", "_b", *sketch, F.posexplode("_a").alias("_i", "_x"))
-    tables = tuple_a.select("_id", "_n", *(f"k{w}" for w in range(words)), "_i", "_x", F.posexplode("_b").alias("_j", "_y"))
+    tables = tuple_a.select("_id", "_n", *(f"k{w}" for w in range(WORDS)), "_i", "_x", F.posexplode("_b").alias("_j", "_y"))
     entries = tables.select(F.xxhash64("_i", "_x", "_j", "_y").alias("key"), "_id")
     shared = entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     entries = stored(entries.join(shared, "key"))  # what shares no key is done
@@ -178,27 +244,24 @@ def find_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shi
     chosen = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("_id"), text).join(members.select("_id"), "_id", "left_semi")
     sets = stored(_with_sets(chosen, text, ["_id"], shingle).dropDuplicates(["_id"]))
 
-    links: DataFrame | None = None
-    label = F.coalesce("component", "_id")
-    for stage in ("least", "hashed", "rest"):
-        now = members if links is None else members.join(components(links).withColumnRenamed("node", "_id"), "_id", "left")
-        now = now.withColumn("c", label) if links is not None else now.withColumn("c", F.col("_id"))
-        held = entries.join(now, "_id")
-        mixed = held.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("_id").alias("l0"), F.min(F.struct(F.xxhash64("_id"), "_id")).getField("_id").alias("l1")).filter("c0 != c1")
-        if stage != "rest":
-            leader = mixed.select("key", F.col("l0" if stage == "least" else "l1").alias("v"))
-            pairs = entries.join(leader, "key").filter("_id != v").select(F.col("_id").alias("u"), "v").distinct()
-            x = now.select(F.col("_id").alias("u"), F.col("c").alias("cu"), F.col("_n").alias("nu"), *(F.col(f"k{w}").alias(f"p{w}") for w in range(words)))
-            y = now.select(F.col("_id").alias("v"), F.col("c").alias("cv"), F.col("_n").alias("nv"), *(F.col(f"k{w}").alias(f"q{w}") for w in range(words)))
-            pairs = pairs.join(x, "u").join(y, "v").filter((F.col("cu") != F.col("cv")) & _near(limit, "p", "q", words) & (100 * F.least("nu", "nv") >= num * F.greatest("nu", "nv"))).select("u", "v")
-        else:
-            held = held.join(mixed.select("key", "c0"), "key")
-            x = held.filter("c != c0").select("key", F.col("_id").alias("u"), F.col("c").alias("cu"), F.col("_n").alias("nu"), *(F.col(f"k{w}").alias(f"p{w}") for w in range(words)))
-            y = held.select(F.col("key").alias("key2"), F.col("_id").alias("v"), F.col("c").alias("cv"), F.col("_n").alias("nv"), *(F.col(f"k{w}").alias(f"q{w}") for w in range(words)))
-            likely = (F.col("key") == F.col("key2")) & (F.col("cu") > F.col("cv")) & _near(limit, "p", "q", words) & (100 * F.least("nu", "nv") >= num * F.greatest("nu", "nv"))
-            pairs = x.join(y, likely).select("u", "v").distinct()
-        found = stored(_confirmed(pairs, sets, threshold))
-        links = found if links is None else stored(links.unionByName(found))
+    sizes = 100 * F.least("nu", "nv") >= num * F.greatest("nu", "nv")
+    side = lambda frame, name, sketch: frame.select(F.col("_id").alias(name), F.col("_n").alias(f"n{name}"), *(F.col(f"k{w}").alias(f"{sketch}{w}") for w in range(WORDS)))
+
+    leader = entries.groupBy("key").agg(F.min("_id").alias("v"))
+    stars = entries.join(leader, "key").filter("_id != v").select(F.col("_id").alias("u"), "v").distinct()
+    likely = stars.join(side(members, "u", "p"), "u").join(side(members, "v", "q"), "v").filter(sizes & _near(num, "p", "q", "nu", "nv"))
+    links = stored(_confirmed(likely.select("u", "v"), sets, threshold))
+
+    now = members.join(components(links).withColumnRenamed("node", "_id"), "_id", "left").withColumn("c", F.coalesce("component", "_id")).drop("component")
+    mixed = entries.join(now.select("_id", "c"), "_id").groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 != c1")
+    open_ = stored(sets.join(entries.join(mixed.select("key"), "key").select("_id").distinct(), "_id", "left_semi"))
+    rows = _prefixes(open_, num).join(now, "_id")
+    x = rows.select("t", F.col("c").alias("cu"), F.col("free").alias("fu"), F.col("_id").alias("u"), F.col("n").alias("nu"), *(F.col(f"k{w}").alias(f"p{w}") for w in range(WORDS)))
+    y = rows.filter("short").select(F.col("t").alias("t2"), F.col("c").alias("cv"), F.col("free").alias("fv"), F.col("_id").alias("v"), F.col("n").alias("nv"), *(F.col(f"k{w}").alias(f"q{w}") for w in range(WORDS)))
+    longer = (F.col("nu") > F.col("nv")) | ((F.col("nu") == F.col("nv")) & (F.col("u") > F.col("v")))
+    enough = (100 + num) * F.least("fu", "fv") >= num * (F.col("nu") + F.col("nv"))
+    pairs = x.join(y, (F.col("t") == F.col("t2")) & (F.col("cu") != F.col("cv")) & longer & sizes & enough & _near(num, "p", "q", "nu", "nv")).select("u", "v").distinct()
+    links = stored(links.unionByName(_confirmed(pairs, sets, threshold)))
     of = components(links)
     named = classes.join(of, classes["_id"] == of["node"], "left").select("_s1", "_s2", F.coalesce("component", "_id").alias("component_id"))
     rows = signed.select(F.col(key).alias("_id"), "_s1", "_s2", F.col("_n").alias("n_shingles"))
