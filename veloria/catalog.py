@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veloria.plans import evaluation, ingest, panel
+from veloria.plans import evaluation, graph, ingest, panel, serving
 
-_MODULES = [ingest, panel, evaluation]
+_MODULES = [ingest, panel, evaluation, graph, serving]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
