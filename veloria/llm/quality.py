@@ -125,8 +125,11 @@ def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: s
     names = [f"_c{k}" for k in range(len(docs.columns))]  # no column of docs clashes with a count
     plain = docs.toDF(*names)
     t, own_lang, own_source = (names[docs.columns.index(c)] for c in (text, lang, source))
-    bounds = limits(count(plain.select(t, own_lang, own_source), t), own_lang, own_source)
-    return judged(count(plain, t), bounds, own_lang, own_source).filter("kept").select(*names).toDF(*docs.columns)
+    bounds = limits(stored(count(plain.select(t, own_lang, own_source), t).drop(t)), own_lang, own_source)
+    rows = judged(count(plain, t), bounds, own_lang, own_source)
+    # rand() is below 2: it only keeps the optimiser from pushing the verdict below the
+    # counts, where each of its terms would hold all the steps' expressions many times over.
+    return rows.filter(F.col("kept") | (F.rand(0) - 2 > 0)).select(*names).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
