@@ -155,7 +155,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
 
 
 def _near(num: int, a: str, b: str, nu: str, nv: str):
-    """Whether the sketches differ in no more bins than the mean and five deviations of a pair at the threshold.
+    """Whether the sketches differ in no more bins than the mean and 4.5 deviations of a pair at the threshold.
 
     Bins sample the union without replacement, so the deviation also shrinks
     with the share of the union that the filled bins are.  JVM arithmetic.
@@ -166,10 +166,12 @@ def _near(num: int, a: str, b: str, nu: str, nv: str):
         differ = differ + F.bit_count(reduce(Column.bitwiseOR, [c.bitwiseXOR(d) for c, d in zip(x, y, strict=True)]))
         filled = filled + F.bit_count(reduce(Column.bitwiseOR, [*x, *y]))
     left = F.greatest(F.lit(0.0), 1 - filled * (1 + t) / (F.col(nu) + F.col(nv)))
-    return differ <= (1 - t) * filled + 5 * F.sqrt(t * (1 - t) * filled * left) + 2
+    return differ <= (1 - t) * filled + 4.5 * F.sqrt(t * (1 - t) * filled * left) + 1
 
 
 _COUNTERS, _CHUNK = 1 << 18, 1 << 12
+#: Tokens before a prefix token that are looked at for an earlier common one.
+EARLIER = 8
 
 
 def _rarity(sets: DataFrame) -> np.ndarray:
@@ -207,7 +209,7 @@ def _prefixes(sets: DataFrame, num: int) -> DataFrame:
 
     def make(batches):
         for batch in batches:
-            out = [[], [], [], [], []]
+            out, before, lengths = [[], [], [], [], []], [], []
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h = np.frombuffer(x, _U)
                 often = shared.value[(h % _U(_COUNTERS)).astype(np.int64)]
@@ -217,9 +219,14 @@ def _prefixes(sets: DataFrame, num: int) -> DataFrame:
                 short = n - -(-2 * num * n // (100 + num)) + 1
                 for part, own in zip(out, (np.full(len(first), i), first.view(np.int64), np.full(len(first), n), np.full(len(first), n - alone), np.arange(alone, alone + len(first)) < short), strict=True):
                     part.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)) for part in out], names=["_id", "t", "n", "free", "short"])
-
-    rows = stored(sets.select("_id", "_set").mapInArrow(make, "_id long, t long, n long, free long, short boolean"))
+                tokens = first.view(np.int64)
+                before += [tokens[max(0, k - EARLIER) : k] for k in range(len(tokens))]
+                lengths.append(np.minimum(np.arange(len(tokens)), EARLIER))
+            offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *before])))
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(part)) for part in out), lists], names=["_id", "t", "n", "free", "short", "before"])
+
+    rows = stored(sets.select("_id", "_set").mapInArrow(make, "_id long, t long, n long, free long, short boolean, before array<long>"))
     several = rows.groupBy("t").agg(F.count("*").alias("k"), F.bool_or("short").alias("any")).filter("k > 1 and any").select("t")
     return rows.join(several, "t")
 
@@ -256,11 +263,11 @@ def find_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shi
     mixed = entries.join(now.select("_id", "c"), "_id").groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 != c1")
     open_ = stored(sets.join(entries.join(mixed.select("key"), "key").select("_id").distinct(), "_id", "left_semi"))
     rows = _prefixes(open_, num).join(now, "_id")
-    x = rows.select("t", F.col("c").alias("cu"), F.col("free").alias("fu"), F.col("_id").alias("u"), F.col("n").alias("nu"), *(F.col(f"k{w}").alias(f"p{w}") for w in range(WORDS)))
-    y = rows.filter("short").select(F.col("t").alias("t2"), F.col("c").alias("cv"), F.col("free").alias("fv"), F.col("_id").alias("v"), F.col("n").alias("nv"), *(F.col(f"k{w}").alias(f"q{w}") for w in range(WORDS)))
+    x = rows.select("t", F.col("before").alias("bu"), F.col("c").alias("cu"), F.col("free").alias("fu"), F.col("_id").alias("u"), F.col("n").alias("nu"), *(F.col(f"k{w}").alias(f"p{w}") for w in range(WORDS)))
+    y = rows.filter("short").select(F.col("t").alias("t2"), F.col("before").alias("bv"), F.col("c").alias("cv"), F.col("free").alias("fv"), F.col("_id").alias("v"), F.col("n").alias("nv"), *(F.col(f"k{w}").alias(f"q{w}") for w in range(WORDS)))
     longer = (F.col("nu") > F.col("nv")) | ((F.col("nu") == F.col("nv")) & (F.col("u") > F.col("v")))
     enough = (100 + num) * F.least("fu", "fv") >= num * (F.col("nu") + F.col("nv"))
-    pairs = x.join(y, (F.col("t") == F.col("t2")) & (F.col("cu") != F.col("cv")) & longer & sizes & enough & _near(num, "p", "q", "nu", "nv")).select("u", "v").distinct()
+    pairs = x.join(y, (F.col("t") == F.col("t2")) & (F.col("cu") != F.col("cv")) & longer & sizes & enough & _near(num, "p", "q", "nu", "nv") & ~F.arrays_overlap("bu", "bv")).select("u", "v").distinct()
     links = stored(links.unionByName(_confirmed(pairs, sets, threshold)))
     of = components(links)
     named = classes.join(of, classes["_id"] == of["node"], "left").select("_s1", "_s2", F.coalesce("component", "_id").alias("component_id"))
