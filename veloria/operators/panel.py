@@ -7,7 +7,7 @@ with missing months as zero, and all frames of one block share one sort.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from veloria.functions.columns import ratio
@@ -16,15 +16,16 @@ from veloria.functions.dates import is_weekend
 FIRST, WARM, LAST = 48, 62, 12
 #: "Never" among months since an event.
 NEVER = 49
-_BY_MONTH = Window.partitionBy("actor").orderBy("m")
 
 
-def over(first: int, last: int):
+def over(first: int, last: int) -> WindowSpec:
     """The frame from ``first`` to ``last`` months relative to the row's month."""
-    return _BY_MONTH.rangeBetween(first, last)
+    return Window.partitionBy("actor").orderBy("m").rangeBetween(first, last)
 
 
-EVER = _BY_MONTH.rangeBetween(Window.unboundedPreceding, 0)
+def ever() -> WindowSpec:
+    """The frame of all months up to the row's own."""
+    return over(Window.unboundedPreceding, 0)
 
 
 def spine(people: DataFrame) -> DataFrame:
@@ -102,15 +103,15 @@ def bursts(dense: DataFrame, columns: list[str]) -> DataFrame:
 
 def repositories(dense: DataFrame) -> DataFrame:
     """dense has ``new_repos``, the repositories first touched in the month."""
-    last = F.max(F.when(F.col("new_repos") > 0, F.col("m"))).over(EVER)
-    rows = dense.select("actor", "b", "m", *(trailing("new_repos", k).alias(f"new_{k}m") for k in (3, 6, 12)), F.coalesce(F.col("m") - last, F.lit(NEVER)).alias("months_since"), F.sum("new_repos").over(EVER).alias("cumulative"))
+    last = F.max(F.when(F.col("new_repos") > 0, F.col("m"))).over(ever())
+    rows = dense.select("actor", "b", "m", *(trailing("new_repos", k).alias(f"new_{k}m") for k in (3, 6, 12)), F.coalesce(F.col("m") - last, F.lit(NEVER)).alias("months_since"), F.sum("new_repos").over(ever()).alias("cumulative"))
     return trimmed(rows).drop("b")
 
 
 def weekend_and_tenure(dense: DataFrame) -> DataFrame:
     """dense has ``n`` and ``weekend``."""
     recent, prior = share("weekend", "n", -2, 0), share("weekend", "n", -14, -3)
-    begun = F.min(F.when(F.col("n") > 0, F.col("m"))).over(EVER)
+    begun = F.min(F.when(F.col("n") > 0, F.col("m"))).over(ever())
     rows = dense.select("actor", "b", "m", recent.alias("weekend_3m"), prior.alias("weekend_prior"), (recent - prior).alias("weekend_delta"), F.coalesce(F.col("m") - begun + 1, F.lit(0)).alias("tenure"), begun.isNull().cast("long").alias("no_activity"))
     return trimmed(rows).drop("b")
 
@@ -120,8 +121,8 @@ def gini(dense: DataFrame) -> DataFrame:
 
     A person has at most 51 months, so the history is a short array.
     """
-    seen = F.sum("n").over(EVER) > 0
-    rows = dense.withColumn("seen", seen).withColumn("history", F.sort_array(F.collect_list(F.when(F.col("seen"), F.col("n"))).over(EVER)))
+    seen = F.sum("n").over(ever()) > 0
+    rows = dense.withColumn("seen", seen).withColumn("history", F.sort_array(F.collect_list(F.when(F.col("seen"), F.col("n"))).over(ever())))
     h, size = F.col("history"), F.size("history")
     total = F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + x)
     ranked = F.aggregate(F.transform(h, lambda x, i: (i + 1) * x), F.lit(0).cast("long"), lambda a, x: a + x)
@@ -138,8 +139,8 @@ def ownership(dense: DataFrame) -> DataFrame:
 
 def divergence(dense: DataFrame, types: list[str]) -> DataFrame:
     """1 - cosine of the last six months' composition and everything before; null without six prior active-span months or a zero norm."""
-    prior = _BY_MONTH.rangeBetween(Window.unboundedPreceding, -6)
-    begun = F.min(F.when(F.col("n") > 0, F.col("m"))).over(EVER)
+    prior = over(Window.unboundedPreceding, -6)
+    begun = F.min(F.when(F.col("n") > 0, F.col("m"))).over(ever())
     rows = dense.select("actor", "b", "m", (F.col("m") - 6 - begun + 1).alias("before"), *(F.sum(t).over(over(-5, 0)).cast("double").alias(f"r_{t}") for t in types), *(F.sum(t).over(prior).cast("double").alias(f"p_{t}") for t in types))
     dot = sum((F.col(f"r_{t}") * F.col(f"p_{t}") for t in types), F.lit(0.0))
     r2, p2 = (sum((F.col(f"{k}_{t}") * F.col(f"{k}_{t}") for t in types), F.lit(0.0)) for k in "rp")

@@ -11,12 +11,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from veloria.functions.columns import fold_marks, host, strip_html
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def plain_ascii(text: pd.Series) -> pd.Series:
     """Unicode compatibility decomposition, marks dropped, lower-case ASCII words."""
     def one(t):
@@ -28,14 +29,14 @@ def plain_ascii(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of sorted distinct words."""
     key = lambda t: " ".join(sorted(set((t or "").lower().split())))
     return pd.Series([difflib.SequenceMatcher(None, key(x), key(y), autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def mask_names(text: pd.Series, names: pd.Series) -> pd.Series:
     """Each name of the row replaced by PERSON1, PERSON2, ...; longer names first, whole words only."""
     def one(t, own):

@@ -16,7 +16,7 @@ def scored(s, d):
     """A transparent score of each person-month from its trailing counts."""
     p = people(s, d)
     dense = pn.on_spine(p, pn.monthly_counts(act(s, d), p).select("actor", "m", "n"))
-    begun = F.min(F.when(F.col("n") > 0, F.col("m"))).over(pn.EVER)
+    begun = F.min(F.when(F.col("n") > 0, F.col("m"))).over(pn.ever())
     dense = dense.select("actor", "m", pn.trailing("n", 3).alias("n3"), pn.trailing("n", 12).alias("n12"), F.coalesce(F.col("m") - begun + 1, F.lit(0)).alias("tenure"))
     raw = 2 * F.col("n3") + F.col("n12") + F.col("actor") % 3
     return pn.labelled(pn.spine(p)).join(dense, ["actor", "m"]).withColumn("score", F.round(F.lit(0.02) + F.lit(0.9) * raw / (raw + 10), 4)).withColumn("recent", 2 * F.col("n3")).withColumn("year", F.col("n12"))

@@ -9,7 +9,8 @@ from veloria.operators import ingest as op
 from veloria.plans.sqltext import sql
 from veloria.sources.tables import act, contrib, people, table
 
-_TRACTION = F.col("flag").isin("A", "N") | ((F.col("flag") == "R") & (F.col("line") == 1))
+def _traction(s, d):
+    return op.received(contrib(s, d), F.col("flag").isin("A", "N") | ((F.col("flag") == "R") & (F.col("line") == 1)))
 
 
 def _positives(s, d):
@@ -70,7 +71,7 @@ QUERIES = {
     "baseline_monthly_totals": lambda s, d: op.monthly_totals(act(s, d)),
     "monthly_activity": lambda s, d: op.monthly_activity(act(s, d), people(s, d)),
     "no_activity_sentinels": lambda s, d: op.no_activity_sentinels(act(s, d), people(s, d)),
-    "owned_traction": lambda s, d: op.received(contrib(s, d), _TRACTION),
+    "owned_traction": _traction,
     "ownership_split_collab": lambda s, d: op.ownership_split(contrib(s, d), people(s, d)),
     "ownership_unpivot": lambda s, d: op.unpivot_ownership(op.ownership_split(contrib(s, d), people(s, d))),
     "repo_first_creations": lambda s, d: op.first_creations(contrib(s, d)),
