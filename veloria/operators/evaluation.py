@@ -37,7 +37,7 @@ def roc_auc(rows: DataFrame, by: list[str] = [], score: str = "score", label: st
     c = by_score(rows, by, score, label)
     negatives, above = F.col("n") - F.col("tp"), F.col("cn") - F.col("ctp")
     wins = F.col("tp") * (F.col("all") - F.col("p") - above + negatives / 2)
-    return c.groupBy(*by).agg((F.sum(wins) / F.max(F.col("p") * (F.col("all") - F.col("p")))).alias("auc"))
+    return c.groupBy(*by).agg((F.sum(wins) / F.nullif(F.max(F.col("p") * (F.col("all") - F.col("p"))), F.lit(0))).alias("auc"))
 
 
 def within_month(rows: DataFrame, least: int = 5) -> DataFrame:

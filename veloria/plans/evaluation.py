@@ -73,7 +73,7 @@ def _second(s, d):
 _BY = lambda src, by, y="y", sc="score": (f"SELECT *, sum(tp) OVER (PARTITION BY {by} ORDER BY s DESC) AS ctp, sum(n) OVER (PARTITION BY {by} ORDER BY s DESC) AS cn, sum(tp) OVER (PARTITION BY {by}) AS p, sum(n) OVER (PARTITION BY {by}) AS al FROM (SELECT {by}, {sc} AS s, count(*) AS n, sum({y}) AS tp FROM {src} GROUP BY ALL)")
 _ITEMS1 = _BY("(SELECT 1 AS one, * FROM items)", "one")
 _AP = "sum(tp::DOUBLE / p * ctp / cn) FILTER (WHERE p > 0 AND p < al)"
-_AUC = "sum(tp * (al - p - (cn - ctp) + (n - tp) / 2.0::DOUBLE)) / max(p * (al - p))"
+_AUC = "sum(tp * (al - p - (cn - ctp) + (n - tp) / 2.0::DOUBLE)) / nullif(max(p * (al - p)), 0)"
 _COUNTED = "SELECT c.*, coalesce(c.m - min(CASE WHEN c.n > 0 THEN c.m END) OVER (PARTITION BY c.actor ORDER BY c.m RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + 1, 0) AS tenure FROM counted c"
 _SUMMARY = "SELECT actor, any_value(grp) AS grp, bool_or(positive) AS positive, max(score) AS peak, max_by(score, m) AS current, min_by(score, m) AS first_score, (max_by(score, m) - max(score) FILTER (WHERE m = b - 14)) / 2 AS momentum FROM scored GROUP BY actor"
 _FOUND = "SELECT actor, detected, b - detected AS lead FROM (SELECT s.actor, s.b, min(s.m) FILTER (WHERE s.score >= t.bar) AS detected FROM scored s LEFT JOIN (SELECT m, quantile_cont(score, 0.99) AS bar FROM scored WHERE NOT positive GROUP BY m) t USING (m) WHERE s.positive GROUP BY ALL)"
