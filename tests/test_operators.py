@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veloria.functions.columns import conform, handle, host, slug, strip_html
+from veloria.functions import names
 from veloria.functions.dates import season_date
 from veloria.operators import evaluation as ev
 from veloria.operators import graph, ingest, models, panel, serving, text
@@ -101,3 +102,14 @@ def test_logistic_contributions_add_up(spark):
     rows = models.matrix(spark.range(200).select(F.col("id").alias("actor"), F.lit(1).alias("m"), (F.col("id") % 3 == 0).cast("long").alias("y"), F.when(F.col("id") % 5 == 0, "test").otherwise("train").alias("split"), (F.col("id") % 7).cast("double").alias("x")), ["x"])
     model = models.fit(models.logistic(["x"]), rows)
     assert models.contributions(model, rows, ["x"]).filter("x is null").count() == 0 and len(CLASSES) == 5
+
+
+def test_names_and_landed_lists(spark):
+    row = spark.createDataFrame([("Acme, Inc.", "Launch HN: Acme (YC W21)", "Ada B. Lovelace", '{"x": [{"y": 1}, {"people": [{"b": 1}, 2]}], "people": 3}', "up 1,234.5 since")], "c string, t string, n string, j string, d string")
+    links = F.array(F.lit("https://github.com/Ann/x"), F.lit("see https://www.github.com/ann?q"), F.lit("https://github.com/features"), F.lit(None))
+    r = row.select(
+        names.company_core(F.col("c")), names.whole_word(F.col("t"), F.lit("ACME")), names.whole_word(F.col("t"), F.lit("cme")), names.launch_title(F.col("t"), F.lit("Acme")), names.username_variants(F.col("n")),
+        names.author_grade(F.lit("alovelace"), F.lit(None).cast("string"), F.col("n")), names.is_rare_login(F.lit("abcdefg1")), names.percentile_100(F.lit(0.5)), names.first_number(F.col("d")),
+        names.logins_of(links, "github.com", ["features"]), names.first_list("people")("j"), names.username_variants(F.lit("")),
+    ).head()
+    assert tuple(r) == ("Acme", True, False, True, ["ada.lovelace", "ada_lovelace", "adal", "adalovelace", "alovelace"], "author_name_variant", True, 50.0, 1234.5, ["Ann"], '[{"b": 1}]', [])

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veloria.plans import evaluation, graph, ingest, panel, serving, text
+from veloria.plans import evaluation, graph, ingest, panel, profile, serving, text
 
-_MODULES = [ingest, panel, evaluation, graph, serving, text]
+_MODULES = [ingest, panel, evaluation, graph, serving, text, profile]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
