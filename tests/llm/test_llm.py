@@ -188,6 +188,18 @@ def test_quality_counts(spark, frame, docs):
     assert kept.columns == frame.columns and 0 < kept.count() < len(docs)
 
 
+def test_quality_keeps_clean_texts_among_junk_copies(spark):
+    rng = random.Random(4)
+    prose = lambda: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(40))
+    junk = " ".join(f"{a}{b}c##" for a in "abcdef" for b in "abcdef")  # 0.4 symbols
+    lines = "\n".join([prose()] + [" ".join(f"{a}{b}cde" for b in "xyz") for a in "kl" for _ in range(4)])
+    assert "##" in junk and lines.count("\n") == 8
+    rows = [(k, junk, "en", "symbols") for k in range(90)] + [(100 + k, prose(), "en", "symbols") for k in range(10)]
+    rows += [(200 + k, lines, "en", "lines") for k in range(90)] + [(300 + k, prose(), "en", "lines") for k in range(10)]
+    kept = {r.doc_id for r in quality.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert kept >= {*range(100, 110), *range(300, 310)}
+
+
 def test_substring_dedup(spark, frame, docs):
     words = [(i, WORD.findall(t or "")) for i, t, _, _ in docs]
     rank = lambda i: float("inf") if i is None else i

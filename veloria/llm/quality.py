@@ -10,8 +10,8 @@ sketches merge by adding counts, so they are pre-aggregated before the
 shuffle, a hot source costs no more than any other, and the result does not
 depend on the order of rows.  A sketch of fewer than ``LEAST_ROWS`` texts
 gives way to that of the language, and then to that of all texts.  A limit
-lies ``REACH`` quartile distances beyond the outer quartile; a distance
-counts as ``LEAST_SPREAD`` at least, so that a source whose texts are all
+lies ``REACH`` quartile distances beyond the outer quartile, on both sides
+for characters a word and above only for the shares; a distance counts as ``LEAST_SPREAD`` at least, so that a source whose texts are all
 alike does not reject harmless deviation.  Limits are joined back to the
 texts and whatever lies beyond one is rejected.
 
@@ -35,6 +35,8 @@ REACH = 5.0
 BROADCAST_GROUPS = 20_000
 #: The least quartile distance of each measure.
 LEAST_SPREAD = {"symbols": 0.01, "lines": 0.05, "repeats": 0.04, "length": 0.5}
+#: Measures with a lower limit too; few symbols or repeats are never a fault.
+TWO_SIDED = {"length"}
 _GRID = 1 + 2 * ACCURACY
 _BLANKS = " \t\n\u000b\f\r"
 _SYMBOLS = "#*$%&|<>"
@@ -92,7 +94,7 @@ def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
 
 
 def limits(counted: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """lang, source and the least and largest value of each measure."""
+    """lang, source and the largest value of each measure, and the least of those in TWO_SIDED."""
     sketch = stored(sketches(counted.select(F.col(lang).alias("_lang"), F.col(source).alias("_source"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"), ["_lang", "_source"]))
     fine, wide, whole = (quartiles(sketch, by) for by in (["_lang", "_source"], ["_lang"], []))
     name = lambda df, p: df.select(*(F.col(c) if c in ("_lang", "_source", "measure") else F.col(c).alias(p + c) for c in df.columns))
@@ -104,7 +106,8 @@ def limits(counted: DataFrame, lang: str = "lang", source: str = "source") -> Da
     for m, spread in LEAST_SPREAD.items():
         reach = REACH * F.greatest(F.col("q3") - F.col("q1"), F.lit(spread))
         own = lambda x, m=m: F.max(F.when(F.col("measure") == m, x))
-        out += [own(F.col("q1") - reach).alias(f"{m}_least"), own(F.col("q3") + reach).alias(f"{m}_most")]
+        out += [own(F.col("q1") - reach).alias(f"{m}_least")] if m in TWO_SIDED else []
+        out += [own(F.col("q3") + reach).alias(f"{m}_most")]
     return joined.groupBy("_lang", "_source").agg(*out)
 
 
@@ -116,7 +119,8 @@ def judged(counted: DataFrame, bounds: DataFrame, lang: str = "lang", source: st
     joined = counted.join(bounds, F.col(lang).eqNullSafe(F.col("_lang")) & F.col(source).eqNullSafe(F.col("_source")), "left")
     good = F.lit(True)
     for m, x in measures().items():
-        good = good & (x <= F.col(f"{m}_most")) & (x >= F.col(f"{m}_least"))
+        good = good & (x <= F.col(f"{m}_most"))
+        good = good & (x >= F.col(f"{m}_least")) if m in TWO_SIDED else good
     return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.coalesce(good, F.lit(True))).drop(*bounds.columns)
 
 
