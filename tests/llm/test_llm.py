@@ -258,6 +258,21 @@ def test_language_id_edges(spark, frame):
     assert empty.filter("lang_pred <> 'und'").count() == 0
 
 
+def test_short_neighbours_keep_their_own_slice(spark):
+    import pyarrow as pa
+
+    for texts in (["", "", "the nine."], ["", "x", "", "the nine.", "", None, "y"], [None, None], []):
+        which, counts = language_id.bags(pa.array(texts, pa.string()))
+        assert len(which) == len(counts) == len(texts)
+    assert language_id.bags(pa.array(["", "", "the nine."]))[0][2] == language_id.bags(pa.array(["the nine."]))[0][0]
+    labelled = spark.createDataFrame([(k, t, "en" if k % 2 else "de") for k, t in enumerate(["", "", "a", "", "some words", "und so weiter"])], "doc_id long, text string, lang string").coalesce(1)
+    assert language_id.predict(labelled, language_id.fit(labelled)).count() == 6
+    bench = spark.createDataFrame([(1, None), (2, ""), (3, ""), (4, "x"), (5, "one two"), (6, None), (7, ""), (8, "three four")], "item_id long, text string")
+    frame = spark.createDataFrame([(1, "so one two"), (2, "three four"), (3, "x")], "doc_id long, text string")
+    got = {r.doc_id: (r._n_hit, list(r._items)) for r in decontaminate.find_hits(frame, bench, n=10).collect()}
+    assert got == {1: (2, ["5"]), 2: (2, ["8"]), 3: (1, ["4"])}
+
+
 def test_license_scan(spark):
     rows = [(1, "Released under the MIT License. mit license"), (2, None), (3, "cc\nBY, x"), (4, "This work is licensed under the GNU General Public License, version 3."), (5, "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee")]
     got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

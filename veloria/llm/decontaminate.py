@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veloria.llm import arrowmap
-from veloria.llm.textbytes import LOWER, NON_ALNUM, Slice, covered, hash_spans, ngram_hashes, slices
+from veloria.llm.textbytes import LOWER, NON_ALNUM, Slice, covered, hash_spans, ngram_hashes, singles, slices
 
 #: Benchmark text held by one pass, in bytes.
 PASS_BYTES = 16 << 20
@@ -41,7 +41,7 @@ class WindowSet:
         self.ids = ids
         self.texts: list[list[bytes]] = []
         found: dict[int, dict[int, list[tuple[int, int]]]] = {}
-        for k, piece in enumerate(slices(pa.array(texts, pa.large_string()), 1)):
+        for k, piece in enumerate(singles(pa.array(texts, pa.large_string()))):
             buf = LOWER[piece.buf]
             starts, ends, _ = Slice(0, buf, piece.offsets).words(NON_ALNUM)
             self.texts.append([buf[a:b].tobytes() for a, b in zip(starts, ends, strict=True)])

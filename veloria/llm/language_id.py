@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veloria.llm import arrowmap
-from veloria.llm.textbytes import LOWER, Slice, slices
+from veloria.llm.textbytes import LOWER, Slice, singles, slices
 
 BUCKETS = 1 << 15
 LETTER = regex.compile(r"\p{L}")
@@ -72,7 +72,7 @@ def has_letter(piece: Slice) -> np.ndarray:
 def bags(column: pa.Array) -> tuple[list[bytes], list[bytes]]:
     """For each text its buckets (uint16) and their counts (float32)."""
     which, counts = [], []
-    for piece in slices(column, 1):
+    for piece in singles(column):
         own = np.bincount(grams(piece)[0], minlength=BUCKETS)
         at = np.flatnonzero(own)
         which.append(at.astype(np.uint16).tobytes())

@@ -125,6 +125,14 @@ def slices(column: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES) -> Itera
         done += len(chunk)
 
 
+def singles(column: pa.Array | pa.ChunkedArray) -> Iterator[Slice]:
+    """A slice of its own for each text, null and empty ones too, in order."""
+    for piece in slices(column):
+        for k in range(len(piece)):
+            a, b = piece.offsets[k], piece.offsets[k + 1]
+            yield Slice(piece.first + k, piece.buf[a:b], np.array([0, b - a]))
+
+
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n consecutive words, from the words' hashes."""
     m = len(words) - n + 1
