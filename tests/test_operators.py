@@ -30,6 +30,17 @@ def test_greedy_match_never_reuses(spark):
     assert got == {(1, 10), (2, 12)}
 
 
+def test_greedy_match_uses_a_control_once_over_all_cutoffs(spark):
+    rows = [(1, 10, 5, 1), (1, 11, 5, 2), (2, 10, 6, 1), (2, 12, 6, 2), (3, 12, 7, 1), (4, 13, 5, 1), (4, 14, 5, 2), (4, 15, 5, 3)]
+    pairs = spark.createDataFrame(rows, "positive long, candidate long, cutoff long, order_rank long")
+    got = {(r.positive, r.control, r.match_rank) for r in ingest.greedy_match(pairs, 1).collect()}
+    assert got == {(1, 10, 1), (2, 12, 1), (4, 13, 1)}
+    got = {(r.positive, r.control, r.match_rank) for r in ingest.greedy_match(pairs, 2, offset=17).collect()}
+    assert got == {(1, 11, 1), (1, 10, 2), (2, 12, 1), (4, 15, 1), (4, 13, 2)}
+    chain = spark.createDataFrame([(k, c, k, 1) for k in range(40) for c in (100 + k, 101 + k)] + [(90, 900, 1, 1)], "positive long, candidate long, cutoff long, order_rank long")
+    assert {(r.positive, r.component) for r in ingest.match_components(chain).collect()} == {*((k, 0) for k in range(40)), (90, 90)}
+
+
 def test_matched_ranks_under_ties(spark):
     s = spark.createDataFrame([(1, 0, True, 0.5), (2, 0, False, 0.5), (3, 0, False, 0.1)], "actor long, grp long, positive boolean, peak double")
     r = ev.matched_ranks(s).head()

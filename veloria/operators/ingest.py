@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +14,8 @@ from veloria.functions.dates import is_weekend, month_date
 
 #: Months of history before an actor's cutoff, and the cutoff's distance from the batch month.
 HISTORY, LEAD = 48, 12
+#: How far a positive's free candidates are rotated before the first are taken.
+MATCH_OFFSET = 17
 SENTINEL = "__NO_ACTIVITY__"
 
 
@@ -85,20 +88,52 @@ def band_pairs(positives: DataFrame, candidates: DataFrame) -> DataFrame:
     return rows.select("positive", F.col("actor").alias("candidate"), "cutoff", F.row_number().over(order).cast("long").alias("order_rank"))
 
 
-def greedy_match(pairs: DataFrame, k: int = 5) -> DataFrame:
+def _kept(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the cluster's shared checkpoint folder."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:  # a session of tests that names no folder
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
+
+
+def match_components(pairs: DataFrame) -> DataFrame:
+    """(positive, component): positives linked by shared candidates have their least positive as component.
+
+    Minima run over candidates and back, and then on to the label's own label, so rounds grow slowly with the length of a chain.
+    """
+    links = _kept(pairs.select("positive", "candidate").distinct())
+    labels = _kept(links.select("positive", F.col("positive").alias("component")).distinct())
+    while True:
+        least = links.join(labels, "positive").groupBy("candidate").agg(F.min("component").alias("c"))
+        near = links.join(least, "candidate").groupBy("positive").agg(F.min("c").alias("c"))
+        beyond = labels.select(F.col("positive").alias("c"), F.col("component").alias("d"))
+        moved = _kept(labels.join(near, "positive").join(beyond, "c").select("positive", F.least("component", "c", "d").alias("new"), "component"))
+        labels = moved.select("positive", F.col("new").alias("component"))
+        if moved.filter("new <> component").isEmpty():
+            return labels
+
+
+def greedy_match(pairs: DataFrame, k: int = 5, offset: int = 0) -> DataFrame:
     """First k unused candidates of each positive, positives in order, without replacement.
 
-    Cutoffs are matched apart: a candidate may serve once under each cutoff.
+    A candidate serves once, whatever its cutoffs: each connected component of
+    positives and candidates is matched in one pass with one set of used
+    candidates.  What is free to a positive is rotated by ``offset`` first.
+    A pass holds the pairs of one component.
     """
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         used, out = set(), []
-        for positive, own in pdf.sort_values(["positive", "order_rank"]).groupby("positive", sort=True):
-            free = [c for c in own.candidate if c not in used][:k]
+        for (positive, cutoff), own in pdf.sort_values(["positive", "cutoff", "order_rank"]).groupby(["positive", "cutoff"], sort=True):
+            free = [c for c in own.candidate.tolist() if c not in used]
+            turn = offset % len(free) if free else 0
+            free = (free[turn:] + free[:turn])[:k]
             used.update(free)
-            out += [(c, positive, own.cutoff.iloc[0], r + 1) for r, c in enumerate(free)]
+            out += [(c, positive, cutoff, r + 1) for r, c in enumerate(free)]
         return pd.DataFrame(out, columns=["control", "positive", "cutoff", "match_rank"])
 
-    return pairs.groupBy("cutoff").applyInPandas(match, "control long, positive long, cutoff long, match_rank long")
+    pairs = _kept(pairs)
+    linked = pairs.join(match_components(pairs), "positive")
+    return linked.groupBy("component").applyInPandas(match, "control long, positive long, cutoff long, match_rank long")
 
 
 def collapse(rows: DataFrame, key: str, cutoff: str, tag: str, eligible: Column) -> DataFrame:

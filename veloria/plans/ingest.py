@@ -78,7 +78,7 @@ QUERIES = {
     "actor_stats": lambda s, d: op.actor_stats(act(s, d), people(s, d)),
     "hash_sample_candidates": _candidates,
     "band_match_eligible": _band,
-    "greedy_match": lambda s, d: op.greedy_match(_band(s, d)),
+    "greedy_match": lambda s, d: op.greedy_match(_band(s, d), offset=op.MATCH_OFFSET),
     "cohort_collapse": _collapse,
     "leakage_violations": _violations,
     "schema_conform": lambda s, d: tidy(conform(table(s, d, "customer"), {"c_custkey": "string", "c_name": "int", "c_acctbal": "double", "c_nationkey": "long", "missing": "string"})),
