@@ -1,5 +1,8 @@
 """Hand-computed cases and invariants of operators that SQL cannot check."""
 
+import difflib
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +44,20 @@ def test_greedy_match_uses_a_control_once_over_all_cutoffs(spark):
     assert {(r.positive, r.component) for r in ingest.match_components(chain).collect()} == {*((k, 0) for k in range(40)), (90, 90)}
 
 
+def test_best_partners_by_brute_force(spark):
+    balances = [19.99, 20.01, 39.9, 40.0, 40.5, -0.2, 0.3, -20.0, 75.0, 500.0, 501.5, 19.2, 60.0, 79.99, 99.0]
+    people = [(k, f"Customer#{k % 4 * 1111}", k % 2, ("A", "B", "C")[k % 3], balances[k % 15] + k // 15 / 4) for k in range(45)] + [(99, "x", 9, "A", 1.0)]
+    similar = lambda a, b: difflib.SequenceMatcher(None, a.lower(), b.lower(), autojunk=False).ratio()
+    best = {}
+    for a, b in itertools.combinations(people, 2):
+        if a[2] == b[2] and abs(a[4] // 20 - b[4] // 20) <= 1:
+            score = min(1.0, 0.4 + 0.3 * (a[3] == b[3]) + 0.2 * (similar(a[1], b[1]) >= 0.9) + 0.1 * (abs(a[4] - b[4]) < 1))
+            for one, other in ((a[0], b[0]), (b[0], a[0])):
+                best[one] = max(best.get(one, (0, 0)), (round(score, 6), -other))
+    got = text.entity_candidates(spark.createDataFrame(people, "c_custkey long, c_name string, c_nationkey int, c_mktsegment string, c_acctbal double"))
+    assert {r.c_custkey: (round(r.score, 6), -r.other) for r in got.collect()} == best and 99 not in best
+
+
 def test_matched_ranks_under_ties(spark):
     s = spark.createDataFrame([(1, 0, True, 0.5), (2, 0, False, 0.5), (3, 0, False, 0.1)], "actor long, grp long, positive boolean, peak double")
     r = ev.matched_ranks(s).head()

@@ -129,12 +129,18 @@ def snippet(text: Column, prefix: str, words: int = 18) -> Column:
 
 
 def entity_candidates(people: DataFrame) -> DataFrame:
-    """Pairs of one nation and segment scored by additive evidence; the best partner of each."""
+    """The best partner of each customer by additive evidence; the smaller key wins a tie.
+
+    Blocking: partners are of one nation, and their balances lie in the same
+    or in neighbouring bands of 20, so any two that are at most 20 apart meet.
+    A pair is scored once and counts for both; who meets nobody has no row.
+    """
     x = people.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_acctbal", F.floor(F.col("c_acctbal") / 20).alias("band"))
-    y = x.select(F.col("c_custkey").alias("other"), F.col("c_name").alias("other_name"), "c_nationkey", F.col("c_mktsegment").alias("other_segment"), F.col("c_acctbal").alias("other_bal"), "band")
+    y = x.select(F.col("c_custkey").alias("other"), F.col("c_name").alias("other_name"), "c_nationkey", F.col("c_mktsegment").alias("other_segment"), F.col("c_acctbal").alias("other_bal"), F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))).alias("band"))
     pairs = x.join(y, ["c_nationkey", "band"]).filter("c_custkey < other")
     score = 0.4 + F.when(F.col("c_mktsegment") == F.col("other_segment"), 0.3).otherwise(0.0) + F.when(name_similarity("c_name", "other_name") >= 0.9, 0.2).otherwise(0.0) + F.when(F.abs(F.col("c_acctbal") - F.col("other_bal")) < 1, 0.1).otherwise(0.0)
-    s = pairs.withColumn("score", F.least(F.lit(1.0), score))
+    s = pairs.select("c_custkey", "other", F.round(F.least(F.lit(1.0), score), 6).alias("score"))
+    s = s.select(F.inline(F.array(F.struct("c_custkey", "other", "score"), F.struct(F.col("other").alias("c_custkey"), F.col("c_custkey").alias("other"), "score"))))
     return s.groupBy("c_custkey").agg(F.max_by(F.struct("other", "score"), F.struct("score", -F.col("other"))).alias("best")).select("c_custkey", "best.other", "best.score")
 
 
