@@ -103,6 +103,18 @@ def test_toxicity_finds_disguised_words(spark):
         assert lexicon.score(toxicity.fold(good)) < 0.5, good
 
 
+def test_toxicity_exceptions_count_distinct_texts(spark):
+    own = lambda k: "w" + "".join("abcdefgh"[int(d)] for d in f"{k:03o}")
+    toxic = [f"you grumbo {('head', 'nose', own(k))[(k > 15) + (k > 19)]} {own(k)}" for k in range(30)]
+    clean = ["a grumbo head was seen"] * 1000 + [f"the grumbo nose {own(k)}" for k in range(5)] + [f"grumbo cake {own(k)}" for k in range(10)] + [f"the rest {own(k)}" for k in range(400)]
+    rows = [(k, t, int(k < 30)) for k, t in enumerate(toxic + clean)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    lexicon = toxicity.fit(frame.drop("toxic"), frame.drop("text"))
+    # 16 toxic texts against one clean one with copies; 4 of 30 against 5 of 416; none against 10
+    assert "grumbo" in lexicon.weights and "grumbo cake" in lexicon.exceptions
+    assert not {"grumbo head", "grumbo nose"} & {*lexicon.exceptions}
+
+
 def test_toxicity_held_out(spark):
     table = toxicity.query(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("held_out")
     right = table.agg(F.avg((F.col("toxic") == F.col("predicted")).cast("double"))).head()[0]

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veloria.llm import arrowmap
+from veloria.llm.blocks import stored
 
 # Look-alikes of Latin letters (Cyrillic, Greek, symbols, digits).
 LOOKALIKES = {
@@ -125,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     share = {k: min(1.0, per_class / n) for k, n in sizes.items()}
     chosen = known.filter(((F.col("_y") == 1) & (draw < share[1])) | ((F.col("_y") == 0) & (draw < share[0])))
     sample = docs.select(key, text).join(F.broadcast(chosen), key)  # at most about 2 x per_class ids
-    sample = sample.filter(F.col(text).isNotNull()).select("_y", text)
+    sample = stored(sample.filter(F.col(text).isNotNull()).groupBy("_y", text).agg(F.count("*").alias("_n")))  # distinct texts and their copies
 
     words = _document_counts(sample, text)
     totals = Counter()
@@ -143,10 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
 
     prior = sizes[1] / (sizes[0] + sizes[1])
     spots, phrases = _features(sample, text, lexicon)
-    around = Counter()
-    for r in phrases:
-        around[(r["phrase"], r["_y"])] += r["n"]
-    learnt = {p for p, _ in around if around[(p, 0)] >= 5 and around[(p, 1)] / n1 * prior < 0.5 * around[(p, 0)] / n0 * (1 - prior) * prior}
+    learnt = {r["phrase"] for r in phrases if r["a"] / n1 * prior < 0.5 * r["b"] / n0 * (1 - prior) * prior}
     lexicon.exceptions = sorted({*lexicon.exceptions, *learnt})
     x = np.array([[1.0, r["f1"], r["f2"]] for r in spots])
     y = np.array([float(r["_y"]) for r in spots])
@@ -157,11 +155,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
 
 
 def _document_counts(sample: DataFrame, text: str) -> DataFrame:
-    """(word, _y, n): distinct texts of each label that hold the word; "" counts all."""
+    """(word, _y, n): texts of the (distinct) sample of each label that hold the word; "" counts all."""
     def run(batches):
         for batch in batches:
             counts: Counter = Counter()
-            for y, t in {*zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)}:
+            for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts.update((w, y) for w in {*WORD.findall(fold(t)), ""} if len(w) <= 64)
             if counts:
                 keys = list(counts)
@@ -171,16 +169,19 @@ def _document_counts(sample: DataFrame, text: str) -> DataFrame:
 
 
 def _features(sample: DataFrame, text: str, lexicon: Lexicon) -> tuple[list, list]:
-    """The curve's inputs, summed up over equal ones, and the words beside matches."""
+    """The curve's inputs, summed up over the rows of equal ones, and the phrases around matches.
+
+    A phrase has the numbers of distinct toxic (a) and clean (b) texts that hold it; those of 5 clean ones or more are listed.
+    """
     shared = sample.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches):
         for batch in batches:
             spots, phrases = Counter(), Counter()
-            for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for y, t, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 t = fold(t)
                 f1, f2 = shared.value.features(t)
-                spots[(y, "", round(f1, 2), round(f2, 2))] += 1
+                spots[(y, "", round(f1, 2), round(f2, 2))] += rows
                 near = set()
                 for a, b, w in shared.value.matches(t):
                     before, after = WORD.findall(t[max(0, a - 40) : a]), WORD.findall(t[b : b + 40])
@@ -191,9 +192,10 @@ def _features(sample: DataFrame, text: str, lexicon: Lexicon) -> tuple[list, lis
             counts = [*spots.values(), *phrases.values()]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.float64()), pa.array([k[3] for k in keys], pa.float64()), pa.array(counts, pa.int64())], names=["_y", "phrase", "f1", "f2", "n"])
 
-    found = sample.select("_y", text).mapInArrow(run, "_y int, phrase string, f1 double, f2 double, n long").groupBy("_y", "phrase", "f1", "f2").agg(F.sum("n").alias("n"))
+    found = sample.select("_y", text, "_n").mapInArrow(run, "_y int, phrase string, f1 double, f2 double, n long").groupBy("_y", "phrase", "f1", "f2").agg(F.sum("n").alias("n"))
     spots = found.filter(F.col("phrase") == "").collect()
-    phrases = found.filter((F.col("phrase") != "") & (F.col("n") >= 5)).collect()
+    of = lambda y: F.sum(F.when(F.col("_y") == y, F.col("n")).otherwise(0))
+    phrases = found.filter(F.col("phrase") != "").groupBy("phrase").agg(of(1).alias("a"), of(0).alias("b")).filter(F.col("b") >= 5).collect()
     return spots, phrases
 
 
