@@ -1,11 +1,11 @@
-"""Substring deduplication by relative Lempel-Ziv factors.
+"""Substring deduplication by lookup of n-word windows.
 
-A document is parsed into factors relative to a reference: the texts of all
-documents with a smaller id.  A factor of at least ``n`` words is a
-duplicate span.  Parsing every document against every block of the
-reference would be quadratic in the corpus, so the reference is indexed by
-content: its blocks are ranges of a hash of n-word windows, and a document
-meets only those blocks that hold something of it.
+This takes the place of relative Lempel-Ziv factors: no reference text is
+kept and no factors are made.  Parsing every document against every block of
+the reference, the texts of all documents with a smaller id, would be
+quadratic in the corpus, so windows are indexed by content: blocks are ranges
+of a hash of n-word windows, and a document meets only those blocks that
+hold something of it.
 
 1. Each block of documents lists its anchors, the smallest 5-gram hash of
    every n-word window.  A window that two documents share has the same
@@ -13,10 +13,8 @@ meets only those blocks that hold something of it.
    cannot be repeated, and is settled here (this is exact).
 2. The windows left are listed with the block's smallest document id each;
    the index blocks answer with the corpus's smallest.
-3. Each document is parsed greedily: a factor runs on as long as its next
-   window is indexed with a smaller document, whichever one; windows that
-   straddle the boundary of two factors are looked up too, so that spans
-   which pass from one reference document into another are found whole.
+3. Each window is looked up by itself, and the words of all windows that are
+   indexed with a smaller document, whichever one, are covered.
 
 Every word inside an n-word window that also starts in a document with a
 smaller id is thus covered, and no other word.  Windows are judged on the
