@@ -6,6 +6,8 @@ the columns of documents; n_chars follows a changed text.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component (5-word shingles, similarity 0.8)."""
-    return near_dup.find_groups(docs, shingle=5, threshold=0.8).filter("kept").select(*docs.columns)
+    return near_dup.representatives(docs, shingle=5, threshold=0.8)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,10 +64,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is kept in the shared folder before the next stage."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = blocks.stored(docs)
-    return docs
+    """All stages over documents; each result is written as Parquet in the shared folder and read again.
+
+    What a stage has read is deleted when its own result is written.
+    """
+    folder = f"{blocks.shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    docs, done = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+        if done is not None:
+            blocks.deleted(spark, done)
+        done = f"{folder}/{k}"
+    return STAGES[-1][1](spark, docs, sf_dir)
