@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from veloria.llm.blocks import trim
+
 
 def append(df: DataFrame, needs: list[str], keep: list[str], made: T.StructType, make: Callable[[dict[str, pa.Array]], dict[str, pa.Array]]) -> DataFrame:
     """Columns ``keep`` of df plus those that ``make`` returns for each Arrow batch.
@@ -29,6 +31,8 @@ def append(df: DataFrame, needs: list[str], keep: list[str], made: T.StructType,
                 new = make({c: batch.column(batch.schema.get_field_index(c)) for c in needs})
                 arrays = [batch.column(batch.schema.get_field_index(c)) for c in keep] + [new[f.name] for f in made]
                 yield pa.RecordBatch.from_arrays([a.cast(t.type) if a.type != t.type else a for a, t in zip(arrays, target, strict=True)], schema=target)
+                del new, arrays, batch
+                trim()
 
     return source.mapInArrow(run, schema)
 

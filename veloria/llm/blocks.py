@@ -13,16 +13,19 @@ would shuffle many times the input.  Instead
 
 What is shuffled grows with distinct keys a block, not with occurrences; a
 key in a third of all rows is one entry a block, so there is no hot group.
-A bucket reads one packed list at a time.  Blocks are numbered by partition
-and order within it, so a task that runs again makes the same blocks; if a
-source were to deal its rows differently when read a second time, the
-answers would not fit and ``finish`` raises instead of guessing.
+There are enough buckets for the input's bytes, so what a bucket holds does
+not grow with the corpus.  A block's number holds its partition, its order
+there and a checksum of its texts.  A task that runs again makes the same
+blocks; if a source deals its rows differently when it is read a second time,
+numbers do not meet and ``finish`` raises instead of guessing.
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,14 +33,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 BLOCK_BYTES = 8 << 20
 #: Documents in a block at most, whatever their length.
 BLOCK_ROWS = 100_000
-#: Buckets for each shuffle partition.
+#: Buckets for each shuffle partition, at least.
 BUCKETS_PER_PARTITION = 3
+#: Bytes of the source as stored for each bucket, at most.
+BUCKET_BYTES = 8 << 20
+#: Bytes of answers in one Arrow batch, beyond which the next batch begins.
+BATCH_BYTES = 64 << 20
 
 
 def trim() -> None:
@@ -87,7 +94,10 @@ def unframe(data: bytes) -> list[bytes]:
 
 
 def bucket_count(df: DataFrame) -> int:
-    return max(16, BUCKETS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Enough buckets for the shuffle partitions and for the bytes that the optimiser expects of the source."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    for_bytes = size // BUCKET_BYTES if size < 1 << 55 else 0  # beyond: the size is unknown
+    return max(16, BUCKETS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), for_bytes)
 
 
 def bucket_bounds(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -96,6 +106,17 @@ def bucket_bounds(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
 
 
+def _number(partition: int, ordinal: int, table: pa.Table, text: str) -> int:
+    """A block's number: partition, order and 24 bits of a checksum of the texts."""
+    column = table.column(text)
+    check = zlib.crc32(np.array(pc.fill_null(pc.binary_length(column), -1), np.int64).tobytes())
+    for chunk in column.chunks:
+        if len(chunk) and chunk.buffers()[2] is not None:
+            offsets = np.frombuffer(chunk.buffers()[1], np.int64 if pa.types.is_large_string(chunk.type) else np.int32)
+            check = zlib.crc32(memoryview(chunk.buffers()[2])[offsets[chunk.offset] : offsets[chunk.offset + len(chunk)]], check)
+    return (partition << 40) | (ordinal << 24) | (check >> 8)
+
+
 def _cut(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[int, pa.Table]]:
     partition, ordinal, held, size, rows = TaskContext.get().partitionId(), 0, [], 0, 0
     for batch in batches:
@@ -113,10 +134,13 @@ def _cut(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[int, pa
                 held.append(batch.take(pa.array(np.arange(at, upto))) if upto - at < batch.num_rows else batch)
                 size, rows, at = size + int(ends[upto - 1] - before), rows + upto - at, upto
             if at < batch.num_rows:
-                yield (partition << 32) | ordinal, pa.Table.from_batches(held)
+                table = pa.Table.from_batches(held)
+                yield _number(partition, ordinal, table, text), table
+                del table
                 ordinal, held, size, rows = ordinal + 1, [], 0, 0
     if held:
-        yield (partition << 32) | ordinal, pa.Table.from_batches(held)
+        table = pa.Table.from_batches(held)
+        yield _number(partition, ordinal, table, text), table
 
 
 _ASKED = T.StructType([T.StructField("block", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("payload", T.BinaryType())])
@@ -145,7 +169,14 @@ def resolve(asked: DataFrame, answer: Callable[[int, list[tuple[int, bytes]]], I
     def run(key, table):
         bucket = key[0].as_py()
         lists = sorted(zip(table.column("block").to_pylist(), table.column("payload").to_pylist(), strict=True))
-        return pa.Table.from_batches([_rows([(block, bucket, payload) for block, payload in answer(bucket, lists)])])
+        batches, rows, size = [], [], 0
+        for block, payload in answer(bucket, lists):
+            if rows and size + len(payload) > BATCH_BYTES:
+                batches.append(_rows(rows))
+                rows, size = [], 0
+            rows.append((block, bucket, payload))
+            size += len(payload)
+        return pa.Table.from_batches([*batches, _rows(rows)])
 
     return asked.groupBy("bucket").applyInArrow(run, _ASKED)
 
@@ -215,11 +246,26 @@ def joined(answers: list[tuple[int, bytes]]) -> list[bytes]:
     return [payload for _, payload in answers]
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the cluster's shared checkpoint folder."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; a session on one machine that names none gets its own."""
     import tempfile
 
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:  # a session of tests that names no folder
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def deleted(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of a store that Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the cluster's shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veloria.llm import arrowmap, blocks
-from veloria.llm.textbytes import Slice, hash_spans, slices
+from veloria.llm.textbytes import Slice, distinct_spans, slices
 
 # Code points with the White_Space property.
 WHITE_SPACE = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -86,16 +86,31 @@ def pretokens(piece: Slice) -> tuple[np.ndarray, np.ndarray]:
     return begins, np.diff(np.searchsorted(begins, piece.offsets))
 
 
-def _block_hashes(column: pa.ChunkedArray) -> tuple[np.ndarray, list[np.ndarray], list[tuple[Slice, np.ndarray]]]:
-    """Hashes of all pre-tokens, their number in each document, and their bounds in each slice."""
-    hashes, counts, pieces = [], [], []
+def _block_words(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's bytes, the bounds of its pre-tokens, and the number of them in each document."""
+    bufs, begins, counts, done = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     for piece in slices(column):
-        begins, per = pretokens(piece)
-        bounds = np.append(begins, len(piece.buf))
-        hashes.append(hash_spans(piece.buf, bounds[:-1], bounds[1:]))
+        own, per = pretokens(piece)
+        bufs.append(piece.buf)
+        begins.append(own + done)
         counts.append(per)
-        pieces.append((piece, bounds.astype(np.int32) if len(piece.buf) < 1 << 31 else bounds))
-    return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), counts, pieces
+        done += len(piece.buf)
+    starts = np.concatenate(begins)
+    return np.concatenate(bufs), starts, np.append(starts[1:], done)[: len(starts)], np.concatenate(counts)
+
+
+_encoders: dict[int, tuple[dict, object]] = {}
+
+
+def _encoder(ranks: dict[bytes, int]):
+    """The library's encoder of single pre-tokens; a worker keeps the one that it used last."""
+    import public_tokenizers
+    import tiktoken
+
+    if id(ranks) not in _encoders:
+        _encoders.clear()
+        _encoders[id(ranks)] = ranks, tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
+    return _encoders[id(ranks)][1]
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -110,28 +125,18 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, text: str = "text", keep
     shared = sc.broadcast(ranks)  # bounded: one vocabulary
 
     def extract(table: pa.Table) -> Iterator[tuple[int, bytes]]:
-        hashes, _, pieces = _block_hashes(table.column(text))
-        distinct, first = np.unique(hashes, return_index=True)
-        del hashes
-        size = np.cumsum([len(b) - 1 for _, b in pieces])
-        owner = np.searchsorted(size, first, "right")
-        words: list[bytes] = [b""] * len(distinct)
-        for k, (piece, ends) in enumerate(pieces):
-            own = np.flatnonzero(owner == k)
-            place = first[own] - (size[k] - len(ends) + 1)
-            raw = piece.buf.tobytes()
-            for slot, a, b in zip(own.tolist(), ends[place].tolist(), ends[place + 1].tolist(), strict=True):
-                words[slot] = raw[a:b]
+        buf, starts, ends, _ = _block_words(table.column(text))
+        distinct, first, place = distinct_spans(buf, starts, ends)
+        del place
+        raw = buf.tobytes()
+        words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         bounds = blocks.bucket_bounds(distinct, buckets)
         for bucket in range(buckets):
             if own := words[bounds[bucket] : bounds[bucket + 1]]:
                 yield bucket, blocks.frame(blocks.pack(np.array([len(w) for w in own], np.uint32)), blocks.pack(b"".join(own)))
 
     def answer(bucket: int, lists: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
-        import public_tokenizers
-        import tiktoken
-
-        encoder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=shared.value, special_tokens={})
+        encoder = _encoder(shared.value)
         known: dict[bytes, list[int]] = {}
         for block, payload in lists:
             lengths, data = blocks.unframe(payload)
@@ -141,15 +146,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, text: str = "text", keep
                 word = data[a:b]
                 ids = known.get(word)
                 if ids is None:
-                    ids = known[word] = encoder._core_bpe.encode_single_piece(word)
+                    ids = known[word] = encoder.encode_single_piece(word)
                 own.append(ids)
                 a = b
             yield block, blocks.frame(blocks.pack_planes(np.array([len(i) for i in own], np.uint32)), blocks.pack_planes(np.array([x for i in own for x in i], np.uint32)))
 
     def prepare(table: pa.Table) -> bytes:
-        hashes, counts = _block_hashes(table.column(text))[:2]
-        _, place = np.unique(hashes, return_inverse=True)
-        return blocks.frame(np.concatenate(counts).astype(np.int64).tobytes(), blocks.pack_planes(place.astype(np.uint32)))
+        buf, starts, ends, counts = _block_words(table.column(text))
+        place = distinct_spans(buf, starts, ends)[2]
+        return blocks.frame(counts.astype(np.int64).tobytes(), blocks.pack_planes(place.astype(np.uint32)))
 
     def conclude(payload: bytes, answers: list[tuple[int, bytes]], own: pa.Table) -> dict[str, pa.Array]:
         counts, places = blocks.unframe(payload)

@@ -35,23 +35,6 @@ NON_ALNUM = separator_table([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_rng = np.random.Generator(np.random.PCG64(20240601))
-#: A random odd 64-bit value for each byte.
-BYTE_VALUE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_P = 0x9E3779B97F4A7C15 | 1
-_P_INV = pow(_P, -1, 2**64)
-_powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) <= n:
-        for k, base in ((0, _P), (1, _P_INV)):
-            steps = np.full(max(n + 1, SLICE_BYTES + 1), base, _U)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of splitmix: a bijection with good avalanche."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -59,14 +42,81 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+#: Masks of the lowest 0 to 8 bytes of a 64-bit word.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
+#: Spans that are worked on at once.
+_SPANS = 1 << 17
+_PLACE = _U(0x9E3779B97F4A7C15)
+_SEED = _U(0xA3D1F6B87C2E945B)
+
+
+def _eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros after the end."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
+
+
+def _further(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of more than 8 bytes, and the owner, number and place of each of their eights but the first."""
+    long = np.flatnonzero(ends - starts > 8)
+    count = (ends[long] - starts[long] - 1) // 8
+    owner = np.repeat(np.arange(len(long)), count)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + 1
+    return long, owner, number, starts[long][owner] + 8 * number
+
+
 def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of buf[start:end] for each span, from one prefix sum."""
+    """A 64-bit hash of buf[start:end] for each span.
+
+    Eight bytes at a time go through a bijection that differs from place to
+    place, so that no two fixed strings cancel whatever surrounds them.
+    Equal hashes are not taken for equal bytes where a result depends on it:
+    see ``distinct_spans``.
+    """
+    if len(starts) > _SPANS:
+        return np.concatenate([hash_spans(buf, starts[k : k + _SPANS], ends[k : k + _SPANS]) for k in range(0, len(starts), _SPANS)])
     if not len(starts):
         return np.zeros(0, _U)
-    power, inverse = _power_tables(len(buf))
-    prefix = np.zeros(len(buf) + 1, _U)
-    np.cumsum(BYTE_VALUE[buf] * power[: len(buf)], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+    eights, size = _eights(buf), ends - starts
+    total = mix((eights[starts] & _MASK[np.minimum(size, 8)]) ^ _SEED)
+    long, owner, number, at = _further(starts, ends)
+    if len(long):
+        parts = eights[at] & _MASK[np.minimum(ends[long][owner] - at, 8)]
+        total[long] += np.add.reduceat(mix(parts ^ mix(number.astype(_U) * _PLACE + _SEED)), np.flatnonzero(number == 1))
+    return mix(total + size.astype(_U) * _U(0xD6E8FEB86659FD93))
+
+
+def same_bytes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each span has the bytes of the span numbered ``other``."""
+    eights, same = _eights(buf), np.zeros(len(starts), bool)
+    for k in range(0, len(starts), _SPANS):
+        a, b, o = starts[k : k + _SPANS], ends[k : k + _SPANS], other[k : k + _SPANS]
+        size, begin = b - a, starts[o]
+        mask = _MASK[np.minimum(size, 8)]
+        own = (size == ends[o] - begin) & (eights[a] & mask == eights[begin] & mask)
+        check = np.flatnonzero(own & (size > 8) & (begin != a))
+        if len(check):
+            _, owner, number, at = _further(a[check], b[check])
+            mask = _MASK[np.minimum(b[check][owner] - at, 8)]
+            differ = (eights[at] & mask) != (eights[begin[check][owner] + 8 * number] & mask)
+            own[check[owner[differ]]] = False
+        same[k : k + _SPANS] = own
+    return same
+
+
+def distinct_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys of the distinct byte strings, each one's first span, and each span's key.
+
+    Spans share a key if and only if their bytes are equal: keys are hashes,
+    and spans that differ from the first of their hash get another.
+    """
+    hashes = hash_spans(buf, starts, ends)
+    while True:
+        keys, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+        differ = np.flatnonzero(~same_bytes(buf, starts, ends, first[place])) if len(place) else first
+        if not len(differ):
+            return keys, first, place
+        hashes[differ] = mix(hashes[differ] + _PLACE)
 
 
 class Slice:
