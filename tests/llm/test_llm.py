@@ -24,7 +24,7 @@ def docs(spark):
     real = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(120).collect()]
     passage = " ".join(f"w{k}" for k in range(60))
     odd = [(1001, None, "en", None), (1002, "", None, "s"), (1003, " \t\n\x0b\x0c\r ", "en", "s"), (1004, "one", "en", "s"), (1005, "ONE two", "en", "s"), (1006, passage, "en", "s"), (1007, "Before " + passage + " after", "en", "s"), (1007, "Before " + passage + " after", "en", "s"),
-           (1008, "it's 'we''ll  x　y z 1½!? 中文\U0001f600 é", "en", "s"), (1009, "a b c d e f g " * 4000, "en", "s"), (1010, "the The\nThe the\n\n \nThe the", "en", "s"), (None, "no id here", "en", "s")]
+           (1008, "it's 'we''ll  x　y z 1½!? 中文\U0001f600 é", "en", "s"), (1009, "a b c d e f g " * 4000, "en", "s"), (1010, "the The\nThe the\n\n \nThe the", "en", "s"), (1011, "u\rv\x0bw\x0cx\ty z\x85a", "en", "s"), (None, "no id here", "en", "s")]
     return real + odd
 
 
@@ -232,6 +232,42 @@ def test_substring_dedup(spark, frame, docs):
     assert all(sum(b - a for a, b in zip(r.spans[::2], r.spans[1::2], strict=True)) == r.n_removed for r in got)
 
 
+def test_factors_are_a_greedy_parse(spark):
+    """With one reference block and long passages the factors are those of a plain greedy parse."""
+    rng = random.Random(8)
+    own = lambda n: [f"u{rng.random():.12f}" for _ in range(n)]
+    base = {k: own(80) for k in range(4)}
+    rows = [(k, " ".join(base[k])) for k in base]
+    for k in range(10, 30):
+        parts = [base[rng.randrange(4)][a : a + rng.randint(5, 40)] for a in (rng.randrange(60) for _ in range(4))]
+        rows.append((k, " ".join(w for p in parts for w in (*p, *own(rng.randrange(3))))))
+    want = {}
+    for k, text in rows:
+        words, at, out = text.split(), 0, []
+        while at + 13 <= len(words):
+            places = [(i, j) for i, t in rows if i < k for j in [next((j for j in range(len(t.split()) - 12) if t.split()[j : j + 13] == words[at : at + 13]), None)] if j is not None]
+            if not places:
+                at += 1
+                continue
+            i, j = min(places)
+            ref, n = dict(rows)[i].split(), 13
+            while at + n < len(words) and j + n < len(ref) and words[at + n] == ref[j + n]:
+                n += 1
+            out.append((at, n, i))
+            at += n
+        want[k] = out
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for blocks_, most in ((1, 1000), (7, 1000), (7, 3)):
+        got = substring_dedup.find_repeats(frame.coalesce(1), reference_blocks=blocks_, passage_windows=most).collect()
+        for r in got:
+            f = [tuple(r.factors[i : i + 3]) for i in range(0, len(r.factors), 3)]
+            assert all(n >= 13 and ref < r.doc_id for _, n, ref in f)
+            words, texts = r.text.split(), dict(rows)
+            assert all(" ".join(words[a : a + n]) in texts[ref] for a, n, ref in f)
+            if (blocks_, most) == (1, 1000):
+                assert set(want[r.doc_id]) <= set(f) and all(n == 13 for a, n, ref in set(f) - set(want[r.doc_id]))
+
+
 def test_decontamination(spark, frame, docs):
     items = [(1, " ".join(f"w{k}" for k in range(5, 30))), (2, "One TWO"), (3, None), (4, "..."), (5, "absent words here")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -293,16 +329,93 @@ def test_license_scan(spark):
     assert got[3].base_labels == "cc-by" and got[4].labels == "gpl,gpl-3.0" and got[5].labels == "isc" and got[5].base_labels == ""
 
 
-def test_suffix_automaton_statistics():
+def _plain_matches(templates, query, least):
+    """(end, length, template, places) of all matches that are maximal in their template, by trying everything."""
+    longest = lambda t, at: max((n for n in range(1, at + 2) if any(t[k : k + n] == query[at - n + 1 : at + 1] for k in range(len(t) - n + 1))), default=0)
+    out = set()
+    for k, t in enumerate(templates):
+        sizes = [longest(t, at) for at in range(len(query))] + [0]
+        for at, n in enumerate(sizes[:-1]):
+            if n >= least and sizes[at + 1] <= n:
+                out.add((at, n, k, tuple(e for e in range(n - 1, len(t)) if t[e - n + 1 : e + 1] == query[at - n + 1 : at + 1])))
+    return out
+
+
+def test_matches_of_each_template():
     rng = random.Random(3)
-    texts = [[rng.randrange(3) for _ in range(30)] for _ in range(4)]
-    query = [rng.randrange(3) for _ in range(200)]
-    grams = {tuple(t[a:b]) for t in texts for a in range(30) for b in range(a + 1, 31)}
-    ends = {}
-    for at in range(len(query)):
-        ends[at] = max((n for n in range(1, 31) if n <= at + 1 and tuple(query[at - n + 1 : at + 1]) in grams), default=0)
-    want = {(at, n) for at, n in ends.items() if n >= 3 and ends.get(at + 1, 0) <= n}
-    assert {(at, n) for at, n, _ in license_scan.SuffixAutomaton(texts).matches(query, 3)} == want
+    for letters in (2, 3, 6):
+        texts = [[rng.randrange(letters) for _ in range(rng.randint(3, 25))] for _ in range(4)]
+        texts.append(texts[0][1:])  # one inside another
+        query = [rng.randrange(letters) for _ in range(80)] + texts[0] + [0]
+        automaton = license_scan.SuffixAutomaton(texts)
+        query = [t for t in query if t in automaton.next[0]]
+        got = {(a, n, k, tuple(places)) for a, n, k, places in automaton.matches(query, 3)}
+        assert got == _plain_matches(texts, query, 3)
+
+
+def test_license_labels_nest(spark):
+    rows = [(1, "x a b c d"), (2, "a b c d"), (3, "a b q c d a b c d"), (4, "q a b c")]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates={"A": ["x a b c d"], "B": ["a b c d"]}).collect()}
+    assert got[1].labels == "A,B" and got[1].score == 1.0 and got[2].labels == "B" and got[3].spans == ["B:5-8"] and got[4].labels == "B" and got[4].score == 0.75
+    header = license_scan.TEMPLATES["apache-2.0"][1]
+    rows = [(1, header[: header.index("You may obtain")]), (2, "Header:\n" + header + " and more"), (3, license_scan.TEMPLATES["mit-text"][2].upper().replace("COPYRIGHT", "patent")), (4, license_scan.TEMPLATES["bsd"][1])]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].labels == got[2].labels == "apache,apache-2.0" and got[2].score == 1.0 and got[3].labels == "mit-text" and got[4].labels == "bsd"
+
+
+def test_license_base_by_brute_force(spark, frame, docs):
+    extra = [(3001, "MIT License, cc by; CC-BY. gnu general public license gnu General public LICENSE", "en", "s"), (3002, "the apache license apache license mit", "en", "s")]
+    rows = docs + extra
+    table = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k long, doc_id long, text string, lang string, source string").withColumn("score", F.lit("mine")).withColumn("_n", F.lit(1))
+    got = {r.k: r for r in license_scan.scan(table).collect()}
+    for k, (_, text, _, _) in enumerate(rows):
+        words, places, labels = ALNUM.findall((text or "").translate(LOWER)), [], set()
+        for phrase, label in license_scan.PHRASES.items():
+            p = phrase.split()
+            at = [i for i in range(len(words) - len(p) + 1) if words[i : i + len(p)] == p]
+            places += at
+            labels |= {label} if at else set()
+        r = got[k]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)))
+        assert 0 <= r.score <= 1 and labels <= set(r.labels.split(",")) | {""} and r._n == 1
+
+
+def _thue_morse(n):
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_cancel_in_plain_polynomials_stay_apart(spark):
+    import public_tokenizers
+
+    a, b = _thue_morse(1024)
+    fill = " ".join(f"f{k}" for k in range(12))
+    rows = [(1, f"{a} {fill}"), (2, f"{b} {fill}"), (3, a), (4, b)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    assert {(r.doc_id, bytes(r.decoded).decode()) for r in bpe.decode(bpe.encode(table, ranks), ranks).collect()} == set(rows)
+    assert all(r.n_removed == 0 for r in substring_dedup.find_repeats(table).collect())
+    found = {r.doc_id: r.component_id for r in near_dup.find_groups(table, shingle=3, threshold=0.85).collect()}
+    assert found[3] == 3 and found[4] == 4
+    got = lm_score.score(table.filter("doc_id > 2"), F.col("doc_id") == 3, keep=["doc_id"]).collect()
+    assert {r.doc_id: r.n_known for r in got} == {3: 2, 4: 1}
+    assert license_scan.scan(table, phrases={a: "A"}, templates={}).filter("n_base > 0").count() == 2
+
+
+def test_equal_hashes_are_told_apart_by_bytes(monkeypatch):
+    import pyarrow as pa
+
+    from veloria.llm import textbytes
+
+    monkeypatch.setattr(textbytes, "hash_spans", lambda buf, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(2))
+    rng = random.Random(1)
+    words = ["".join(rng.choices("ab", k=rng.randint(1, 20))) for _ in range(300)] * 2
+    piece = next(textbytes.slices(pa.array([" ".join(words)])))
+    starts, ends, _ = piece.words(textbytes.SPACE)
+    keys, first, place = textbytes.distinct_spans(piece.buf, starts, ends)
+    assert len(keys) == len(set(words)) and [words[first[p]] for p in place] == words
 
 
 def test_empty_tables(spark, frame):

@@ -6,15 +6,18 @@ a set that is broadcast; training texts are scanned once, each hash hit is
 verified on the words themselves, and every word that lies inside an
 occurrence is hit.  Then spans or documents are removed.
 
-The set has a proven bound: items are read in passes of at most
-``pass_bytes`` of text each, all pipelined in one stage, so that a benchmark
-of any size is handled whole and no worker holds more than one pass.
+The set has a proven bound: items are read in passes of at most about
+``pass_bytes`` of text each.  A benchmark of any size is handled whole: passes
+run one after the other, each as a job of its own whose result is stored, and a
+pass's set is dropped before the next is made, so that neither the driver nor a
+worker holds more than one.
 
 Defined results: a null or empty text (on either side) has no words, so it
 is neither hit nor a window; equal windows of several items count for each
 of those items; repeated rows are judged one by one; an empty benchmark hits
-nothing; columns other than the ones named are carried along untouched, and
-one that clashes with a made column is replaced.
+nothing; an empty table gives an empty table; columns other than the ones
+named are carried along untouched, and one that clashes with a made column
+(``_words``, ``_n_hit``, ``_hits``, ``_items``) is replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veloria.llm import arrowmap
+from veloria.llm.blocks import stored
 from veloria.llm.textbytes import LOWER, NON_ALNUM, Slice, covered, hash_spans, ngram_hashes, singles, slices
 
 #: Benchmark text held by one pass, in bytes.
@@ -76,30 +80,30 @@ SCHEMA = arrowmap.schema("_words long, _n_hit long, _hits binary, _items array<s
 
 
 def _passes(spark: SparkSession, items: DataFrame, id_column: str, text_column: str, n: int, pass_bytes: int):
+    """(set, whether more may follow) for each pass over the items."""
     rows = items.select(F.col(id_column).cast("string").alias("i"), F.col(text_column).alias("t"))
     total = rows.agg(F.sum(F.octet_length("t") + 16)).head()[0] or 0
     parts = max(1, -(-2 * int(total) // pass_bytes)) if total > pass_bytes else 1
     for p in range(parts):
         chosen = rows if parts == 1 else rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == p)
         got = sorted(((r.i or "", r.t) for r in chosen.toLocalIterator()), key=lambda x: (x[0], x[1] or ""))
-        if got:
-            yield spark.sparkContext.broadcast(WindowSet([i for i, _ in got], [t for _, t in got], n))
+        yield spark.sparkContext.broadcast(WindowSet([i for i, _ in got], [t for _, t in got], n)), p + 1 < parts
 
 
 def find_hits(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 10, keep: list[str] | None = None, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """Adds _words (count), _hits (byte flags per word) and _items (ids, sorted) to docs."""
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in SCHEMA.names]
     out, earlier = docs, False
-    for shared in [*_passes(docs.sparkSession, items, item_id, item_text, n, pass_bytes)] or [None]:
+    for shared, more in _passes(docs.sparkSession, items, item_id, item_text, n, pass_bytes):
 
         def make(cols: dict[str, pa.Array], shared=shared, earlier=earlier) -> dict[str, pa.Array]:
-            known = shared.value if shared is not None else None
+            known = shared.value
             n_words, hits, item_lists = [], [], []
             for piece in slices(cols[text]):
                 buf = LOWER[piece.buf]
                 starts, ends, doc = Slice(0, buf, piece.offsets).words(NON_ALNUM)
                 per = np.bincount(doc, minlength=len(piece))
-                found = [*known.scan(buf, starts, ends, doc)] if known is not None else []
+                found = [*known.scan(buf, starts, ends, doc)]
                 flags = covered(np.array([a for a, _, _ in found], np.int64), np.array([s for _, s, _ in found], np.int64), len(starts))
                 ids: dict[int, set[str]] = {}
                 for at, _, which in found:
@@ -119,6 +123,9 @@ def find_hits(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id:
 
         out = arrowmap.append(out, [text, *(["_hits", "_items"] if earlier else [])], list(dict.fromkeys([*keep, text])), SCHEMA, make)
         earlier = True
+        if more:
+            out = stored(out)
+            shared.destroy()
     return out.select(*keep, *SCHEMA.names)
 
 

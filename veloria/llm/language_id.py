@@ -4,10 +4,12 @@ A text's words (ASCII-lower-cased bytes, any white space or ASCII punctuation
 and digit as one boundary byte) give byte 2-, 3- and 4-grams, hashed into a
 fixed number of buckets.  Their embeddings are averaged and a linear softmax
 gives the language.  Embeddings and softmax are trained by stochastic
-gradient descent in numpy, on a bounded sample of labelled rows:
-``per_language`` rows for each language in expectation, chosen by a hash of
-the id; what is gathered for a row is its bucket counts, so it is bounded by
-the number of buckets and not by the text.  Whole texts are used in both.
+gradient descent in numpy, in small batches, on a bounded sample of labelled
+rows: ``sample_rows`` in all, shared out evenly between the languages and
+``per_language`` of each at most, in expectation, chosen by a hash of the id;
+what is gathered for a row is its bucket counts, so it is bounded by the number
+of buckets and not by the text.  Every language that has a label is learnt.
+Whole texts are used in training and prediction.
 
 A part of the sample that is not trained on calibrates: a temperature makes
 the score a probability, and the rejection threshold is the smallest score
@@ -16,7 +18,8 @@ from which on at least ``accept_accuracy`` of the calibration rows are right.
 Defined results: ``und`` with score 0 and rejected for a null text or one
 without a letter; with no labelled row at all, every text is ``und``;
 repeated rows get equal results; ties go to the alphabetically first
-language; other columns are carried along.
+language; an empty table gives an empty table; other columns are carried
+along, and one called lang_pred, score or rejected is replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,32 +101,51 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(rows: list[tuple[str, bytes, bytes]], *, dim: int = 16, epochs: int = 6, rate: float = 1.0, seed: int = 7, accept_accuracy: float = 0.99) -> Model:
-    """Stochastic gradient descent over bags of buckets, then calibration."""
+def train(rows: list[tuple[str, bytes, bytes]], *, dim: int = 16, epochs: int = 6, rate: float = 1.0, batch: int = 16, seed: int = 7, accept_accuracy: float = 0.99) -> Model:
+    """Stochastic gradient descent over bags of buckets in batches, then calibration."""
     languages = sorted({r[0] for r in rows})
     n, rng = len(languages), np.random.default_rng(seed)
     if n < 2:
         return Model(languages, np.zeros((BUCKETS, n)), np.zeros(n), 1.0, 0.0)
-    x = [(np.frombuffer(w, np.uint16).astype(np.int64), np.frombuffer(c, np.float32)) for _, w, c in rows]
-    x = [(w, c / max(1.0, c.sum())) for w, c in x]
-    y = np.array([languages.index(r[0]) for r in rows])
-    embed, weight, bias = rng.normal(0, 0.1, (BUCKETS, dim)), rng.normal(0, 0.3, (dim, n)), np.zeros(n)
+    number = {x: k for k, x in enumerate(languages)}
+    y = np.array([number[r[0]] for r in rows])
+    sizes = np.array([len(w) // 2 for _, w, _ in rows])
+    ends = np.cumsum(sizes)
+    which, share = np.frombuffer(b"".join(w for _, w, _ in rows), np.uint16), np.frombuffer(b"".join(c for _, _, c in rows), np.float32)
+    totals = np.maximum(1.0, np.bincount(np.repeat(np.arange(len(rows)), sizes), share, len(rows)))
+
+    def matrix(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct buckets of some rows, and the rows' shares of them as a dense matrix."""
+        at = np.repeat(ends[own] - np.cumsum(sizes[own]), sizes[own]) + np.arange(sizes[own].sum())
+        row = np.repeat(np.arange(len(own)), sizes[own])
+        slot[which[at]] = 1
+        used = np.flatnonzero(slot)
+        slot[used] = np.arange(len(used))
+        dense = np.zeros((len(own), len(used)), np.float32)
+        dense[row, slot[which[at]]] = share[at] / totals[own][row]
+        slot[used] = 0
+        return used, dense
+
+    slot = np.zeros(BUCKETS, np.int64)
+    embed, weight, bias = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32), rng.normal(0, 0.3, (dim, n)).astype(np.float32), np.zeros(n)
     order = rng.permutation(len(rows))
     held, learn = order[: len(rows) // 5], order[len(rows) // 5 :]
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
-        for k in rng.permutation(learn).tolist():
-            where, share = x[k]
-            mean = share @ embed[where]
+        shuffled = rng.permutation(learn)
+        for first in range(0, len(shuffled), batch):
+            own = shuffled[first : first + batch]
+            used, x = matrix(own)
+            mean = x @ embed[used]
             error = _softmax(mean @ weight + bias)
-            error[y[k]] -= 1
-            back = weight @ error
-            weight -= step * np.outer(mean, error)
-            bias -= 0.1 * step * error
-            embed[where] -= (10 * step) * share[:, None] * back
+            error[np.arange(len(own)), y[own]] -= 1
+            back = error @ weight.T
+            weight -= (step * (mean.T @ error)).astype(np.float32)
+            bias -= 0.1 * step * error.sum(axis=0)
+            embed[used] -= (10 * step) * (x.T @ back).astype(np.float32)
     table = embed @ weight
     held = held if len(held) else order
-    logits = np.array([x[k][1] @ table[x[k][0]] + bias for k in held.tolist()])
+    logits = np.concatenate([x @ table[used] + bias for used, x in (matrix(held[k : k + batch]) for k in range(0, len(held), batch))])
     grid = np.geomspace(0.2, 5, 33)
     loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(held)), y[held]], 1e-12)).mean() for t in grid]
     temperature = float(grid[int(np.argmin(loss))])
@@ -135,16 +157,16 @@ def train(rows: list[tuple[str, bytes, bytes]], *, dim: int = 16, epochs: int =
     return Model(languages, table.astype(np.float32), bias, temperature, threshold)
 
 
-def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 2000, most_languages: int = 400, **options) -> Model:
-    """Trains on a sample of about ``per_language`` rows of each of the most frequent languages."""
+def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 2000, sample_rows: int = 100_000, **options) -> Model:
+    """Trains on a sample of about ``sample_rows`` rows at most, ``per_language`` of each language."""
     known = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(most_languages).collect()
+    counts = known.groupBy(lang).count().collect()  # one row a language
     if not counts:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
     draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("lid")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen: Column = F.lit(False)
-    for row in counts:
-        chosen = chosen | ((F.col(lang) == row[0]) & (draw < min(1.0, per_language / row[1])))
+    each = min(per_language, max(1, sample_rows // len(counts)))
+    share = F.create_map(*(F.lit(x) for row in counts for x in (row[0], min(1.0, each / row[1]))))
+    chosen = draw < share[F.col(lang)]
     made = arrowmap.schema("_w binary, _c binary")
     sample = arrowmap.append(known.filter(chosen), [text], [lang, key], made, lambda cols: {k: pa.array(v, pa.binary()) for k, v in zip(("_w", "_c"), bags(cols[text]), strict=True)})
     rows = sorted(sample.select(lang, F.col(key).cast("string"), "_w", "_c").toLocalIterator(), key=lambda r: (r[1] or "", r[2]))

@@ -10,13 +10,15 @@ groups are dealt by a hash into shards x FINE bundles, each an item.  A
 bundle is about 1/FINE of a shard and the heap evens out what differs.
 
 Slots number a shard's rows without gaps: an item's rows are split into cells
-of about ``CELL_ROWS`` by a hash of the id, cells get running offsets from
-their counts, and rows are numbered within their cell, so no task sorts a
-whole shard or a whole group.
+of about ``CELL_ROWS`` by a hash of the id and of the row's place in the stored
+table (so that rows with one id, or none, are split too), cells get running
+offsets from their counts, and rows are numbered within their cell, so no task
+sorts a whole shard or a whole group.
 
 Defined results: a null text counts as an empty one (size 16) and belongs to
 the group of empty texts; repeated rows get slots of their own; a null id is
-dealt like any other; an empty table gives an empty table.
+dealt like any other; an empty table gives an empty table; columns other than
+the id are not carried along (join them by the id).
 """
 
 from __future__ import annotations
@@ -50,7 +52,7 @@ def longest_first(items: list[tuple[int, int]], shards: int) -> dict[int, int]:
 def assign(docs: DataFrame, *, shards: int = 40, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, size, text_crc32, shard and slot of every row."""
     spark, body = docs.sparkSession, F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias("id"), (F.octet_length(body) + OVERHEAD).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(body).alias("g1"), F.xxhash64(F.lit(1), body).alias("g2"))
+    rows = docs.select(F.col(key).alias("id"), (F.octet_length(body) + OVERHEAD).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(body).alias("g1"), F.xxhash64(F.lit(1), body).alias("g2"), F.monotonically_increasing_id().alias("row"))
     rows = stored(rows)
     groups = stored(rows.groupBy("g1", "g2").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
     total = groups.agg(F.sum("bytes")).head()[0] or 0
@@ -64,11 +66,11 @@ def assign(docs: DataFrame, *, shards: int = 40, key: str = "doc_id", text: str
     of_item = spark.createDataFrame([(i, shard[i], max(1, -(-n // CELL_ROWS))) for _, i, n in items], "item int, shard int, cells int")
 
     dealt = rows.join(F.broadcast(of_large), ["g1", "g2"], "left").withColumn("item", F.coalesce("large", bundle)).join(F.broadcast(of_item), "item")
-    dealt = stored(dealt.select("id", "size", "text_crc32", "item", "shard", F.pmod(F.xxhash64("id", "size"), F.col("cells")).cast("int").alias("cell")))
+    dealt = stored(dealt.select("id", "size", "text_crc32", "item", "shard", F.pmod(F.xxhash64("id", "size", "row"), F.col("cells")).cast("int").alias("cell"), "row"))
     cells = dealt.groupBy("shard", "item", "cell").count()
     before = Window.partitionBy("shard").orderBy("item", "cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("item", "cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    within = Window.partitionBy("item", "cell").orderBy("id", "text_crc32")
+    within = Window.partitionBy("item", "cell").orderBy("id", "text_crc32", "row")
     numbered = dealt.withColumn("k", F.row_number().over(within) - 1).join(cells, ["item", "cell"])
     return numbered.select(F.col("id").alias(key), "size", "text_crc32", "shard", (F.col("first") + F.col("k")).cast("long").alias("slot"))
 

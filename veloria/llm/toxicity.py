@@ -15,12 +15,16 @@ distinct texts; ``least_documents`` toxic texts and a log-likelihood ratio of
 are kept (a model's size, as the number of buckets of an embedding is).
 
 Defined results: a null, empty or wordless text gets the score of a text
-without matches; with no labelled row the score is 0 everywhere; repeated
-rows get equal scores; other columns are carried along.
+without matches; with no labelled row, or labels of one class only, the lexicon
+is empty and the score is the same everywhere, below 1e-12 (without toxic rows)
+or above 1 - 1e-12 (without clean ones); several labels of one id count as the
+largest; repeated rows get equal scores; an empty table gives an empty table;
+other columns are carried along, and one called score or predicted is replaced.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections import Counter
 from collections.abc import Iterable
@@ -79,7 +83,13 @@ class Lexicon:
             first = last - len(word) + 1
             if (first == 0 or not text[first - 1].isalpha()) and (last + 1 == len(text) or not text[last + 1].isalpha()):
                 (excepted if is_phrase else found).append((first, last + 1, word))
-        return [m for m in found if not any(a <= m[0] and m[1] <= b for a, b, _ in excepted)]
+        if not excepted:
+            return found
+        reach, upto = {}, 0  # the furthest end of an exception that begins no later
+        for a, b, _ in sorted(excepted):
+            reach[a] = upto = max(upto, b)
+        begins = sorted(reach)
+        return [m for m in found if not (k := bisect.bisect(begins, m[0])) or reach[begins[k - 1]] < m[1]]
 
     def features(self, text: str) -> tuple[float, float]:
         total = sum(self.weights[w] for _, _, w in self.matches(text))
@@ -160,7 +170,7 @@ def _document_counts(sample: DataFrame, text: str) -> DataFrame:
         for batch in batches:
             counts: Counter = Counter()
             for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts.update((w, y) for w in {*WORD.findall(fold(t)), ""} if len(w) <= 64)
+                counts.update((w, y) for w in {*WORD.findall(fold(t)), ""})
             if counts:
                 keys = list(counts)
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int32()), pa.array([counts[k] for k in keys], pa.int64())], names=["word", "_y", "n"])
@@ -184,9 +194,10 @@ def _features(sample: DataFrame, text: str, lexicon: Lexicon) -> tuple[list, lis
                 spots[(y, "", round(f1, 2), round(f2, 2))] += rows
                 near = set()
                 for a, b, w in shared.value.matches(t):
-                    before, after = WORD.findall(t[max(0, a - 40) : a]), WORD.findall(t[b : b + 40])
-                    near |= {f"{before[-1]} {w}"} if before and t[a - 1] == " " else set()
-                    near |= {f"{w} {after[0]}"} if after and t[b : b + 1] == " " else set()
+                    before = _word_before(t, a - 1) if a and t[a - 1] == " " else ""
+                    after = WORD.match(t, b + 1) if t[b : b + 1] == " " else None
+                    near |= {f"{before} {w}"} if before else set()
+                    near |= {f"{w} {after[0]}"} if after else set()
                 phrases.update((y, p, 0.0, 0.0) for p in near)
             keys = [*spots, *phrases]
             counts = [*spots.values(), *phrases.values()]
@@ -199,6 +210,14 @@ def _features(sample: DataFrame, text: str, lexicon: Lexicon) -> tuple[list, lis
     return spots, phrases
 
 
+def _word_before(text: str, end: int) -> str:
+    """The word that ends at a place, if one does."""
+    first = end
+    while first and text[first - 1].isalpha():
+        first -= 1
+    return text[first:end]
+
+
 SCHEMA = arrowmap.schema("score double, predicted int")
 
 
