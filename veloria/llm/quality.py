@@ -33,6 +33,8 @@ LEAST_ROWS = 50
 REACH = 5.0
 #: Groups whose limits may be broadcast.
 BROADCAST_GROUPS = 20_000
+#: Digests of rejected texts that may be broadcast.
+BROADCAST_DIGESTS = 1 << 20
 #: The least quartile distance of each measure.
 LEAST_SPREAD = {"symbols": 0.01, "lines": 0.05, "repeats": 0.04, "length": 0.5}
 #: Measures with a lower limit too; few symbols or repeats are never a fault.
@@ -48,10 +50,19 @@ def _removed(text: Column, signs: str) -> Column:
 
 
 def count(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the counts of each text; arrays are made in steps so that none is made twice."""
-    names = docs.columns
-    d = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    d = d.select(*names, "_t", F.transform(F.array_remove(F.split("_t", "[\\x20\\x09-\\x0D]+"), ""), lambda w: F.xxhash64(w)).alias("_h"), F.filter(F.split("_t", "\n"), lambda x: F.translate(x, _BLANKS, "") != "").alias("_l"))
+    """docs with the counts of each text, which replace columns of their names.
+
+    Arrays are made in steps so that none is made twice.  Words and windows
+    are compared by 64-bit hashes within one text.
+    """
+    taken = {c: f"_c{k}" for k, c in enumerate(docs.columns) if c not in (*COUNTS, "n_lines") or c == text}
+    names = list(taken.values())
+    d = docs.select(*(F.col(c).alias(n) for c, n in taken.items()), F.translate(F.coalesce(F.col(text), F.lit("")), _BLANKS.replace("\n", ""), " " * (len(_BLANKS) - 1)).alias("_t"))
+    # Blanks but for line ends are plain spaces now, and splitting at one sign needs no pattern.
+    words = F.array_remove(F.split(F.translate("_t", "\n", " "), " "), "")
+    d = d.select(*names, "_t", F.transform(words, lambda w: F.xxhash64(w)).alias("_h"), F.col(taken[text]).alias("_raw"))
+    lines = F.filter(F.split(F.coalesce("_raw", F.lit("")), "\n"), lambda x: F.translate(x, _BLANKS, "") != "")
+    d = d.select(*names, "_t", "_h", lines.alias("_l"))
     h = F.col("_h")
     windows = F.when(F.size(h) >= 6, F.transform(F.sequence(F.lit(0), F.size(h) - 5), lambda i: F.xxhash64(h[i], h[i + 1], h[i + 2], h[i + 3], h[i + 4])))
     d = d.select(*names, F.size(h).cast("long").alias("n_words"), _removed(F.col("_t"), _BLANKS).cast("long").alias("word_chars"), (F.char_length("_t") - _removed(F.col("_t"), _SYMBOLS)).cast("long").alias("n_symbols"), (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"), F.size("_l").alias("n_lines"), windows.alias("_w"))
@@ -64,7 +75,7 @@ def count(docs: DataFrame, text: str = "text") -> DataFrame:
     d = d.select(*names, *counts, F.sort_array(F.transform(twice, lambda x: x["i"])).alias("_s"))
     s, last = F.col("_s"), F.size("_s") - 1
     words = F.aggregate(F.transform(s, lambda x, i: F.when(i < last, F.least(s[F.least(i + 1, last)] - x, F.lit(5))).otherwise(5)), F.lit(0), lambda a, x: a + x)
-    return d.select(*names, *counts, F.coalesce(words, F.lit(0)).cast("long").alias("n_repeat_words"))
+    return d.select(*(F.col(n).alias(c) for c, n in taken.items()), *counts, F.coalesce(words, F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
 def measures() -> dict[str, Column]:
@@ -124,16 +135,29 @@ def judged(counted: DataFrame, bounds: DataFrame, lang: str = "lang", source: st
     return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.coalesce(good, F.lit(True))).drop(*bounds.columns)
 
 
+def _identity(columns: list[str]) -> list[Column]:
+    """128 bits that stand for the columns' values, null apart from empty."""
+    parts = [x for c in columns for x in (F.col(c).isNull(), F.coalesce(F.col(c), F.lit("")))]
+    return [F.xxhash64(F.lit(k), *parts).alias(f"_h{k}") for k in (1, 2)]
+
+
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of docs that pass, with docs' columns."""
+    """The rows of docs that pass, with docs' columns.
+
+    Each text is counted once; the counts are stored without it.  A verdict
+    hangs on text, language and source alone, so the texts then meet the
+    distinct digests of what is rejected, broadcast if they are few.
+    """
     names = [f"_c{k}" for k in range(len(docs.columns))]  # no column of docs clashes with a count
     plain = docs.toDF(*names)
     t, own_lang, own_source = (names[docs.columns.index(c)] for c in (text, lang, source))
-    bounds = limits(stored(count(plain.select(t, own_lang, own_source), t).drop(t)), own_lang, own_source)
-    rows = judged(count(plain, t), bounds, own_lang, own_source)
-    # rand() is below 2: it only keeps the optimiser from pushing the verdict below the
-    # counts, where each of its terms would hold all the steps' expressions many times over.
-    return rows.filter(F.col("kept") | (F.rand(0) - 2 > 0)).select(*names).toDF(*docs.columns)
+    own = _identity([t, own_lang, own_source])
+    counted = stored(count(plain.select(t, own_lang, own_source, *own), t).drop(t))
+    rejected = judged(counted, limits(counted, own_lang, own_source), own_lang, own_source).filter(~F.col("kept"))
+    rejected = stored(rejected.select("_h1", "_h2").distinct())
+    if rejected.count() <= BROADCAST_DIGESTS:
+        rejected = F.broadcast(rejected)
+    return plain.select("*", *own).join(rejected, ["_h1", "_h2"], "left_anti").select(*names).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
