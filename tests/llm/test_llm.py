@@ -3,8 +3,10 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -418,6 +420,242 @@ def test_equal_hashes_are_told_apart_by_bytes(monkeypatch):
     assert len(keys) == len(set(words)) and [words[first[p]] for p in place] == words
 
 
+def _grid_quartiles(values):
+    at = sorted(((math.ceil(math.log(x) / math.log(quality._GRID)) if x > 0 else None) for x in values), key=lambda b: -math.inf if b is None else b)
+    value = lambda b: 0.0 if b is None else 2 * quality._GRID**b / (1 + quality._GRID)
+    return [value(at[max(0, math.ceil(q * len(at)) - 1)]) for q in (0.25, 0.75)]
+
+
+def test_quality_verdict_by_brute_force(spark, frame, docs):
+    rng = random.Random(6)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(n))
+    more = [(5000 + k, prose(30) + " #" * rng.choice([0, 0, 0, 1, 9]) + rng.choice(["", "\nx\nx\nx", " abcdefghijklmnopqrstuvwxyz" * 3]), rng.choice(["en", None]), rng.choice(["s", "hot"])) for k in range(240)]
+    rows = docs + more
+    table = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k long, doc_id long, text string, lang string, source string")
+    shares = []
+    for _, t, _, _ in rows:
+        t = t or ""
+        w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+        often = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        cover = set()
+        for i in range(len(w) - 4):
+            if often[tuple(w[i : i + 5])] > 1:
+                cover.update(range(i, i + 5))
+        chars, part = sum(map(len, w)), lambda a, b: a / b if b else 0.0
+        failed = len(w) < 10 or 100 * len(cover) > 20 * len(w)
+        shares.append((failed, {"symbols": part(len(re.findall(r"[#*$%&|<>]", t)), chars), "lines": part(len(lines) - len(set(lines)), len(lines)), "repeats": part(len(cover), len(w)), "length": part(chars, len(w))}))
+    want = {}
+    for k, (failed, own) in enumerate(shares):
+        ok = not failed
+        for m, spread in quality.LEAST_SPREAD.items():
+            for same in ((2, 3), (2,), ()):
+                group = [x[1][m] for x, r in zip(shares, rows, strict=True) if all(r[c] == rows[k][c] for c in same)]
+                if len(group) >= quality.LEAST_ROWS or not same:
+                    break
+            q1, q3 = _grid_quartiles(group)
+            reach = quality.REACH * max(q3 - q1, spread)
+            ok &= own[m] <= q3 + reach and (m not in quality.TWO_SIDED or own[m] >= q1 - reach)
+        want[k] = ok
+    assert 0 < sum(want.values()) < len(want)
+    assert {r.k for r in quality.keep_good(table).collect()} == {k for k, ok in want.items() if ok}
+
+
+def _plain_ctw(train, depth):
+    """log10 probability of a text under a context tree of recursive definition."""
+    counts = collections.defaultdict(lambda: [0, 0])
+
+    def places(text):
+        symbols = [*(text or "").translate(LOWER).encode(), lm_score.END]
+        for i, symbol in enumerate(symbols):
+            context = tuple(symbols[i - d - 1] if i > d else lm_score.PAD for d in range(depth))
+            for j in range(lm_score.STEPS):
+                if j == 0 or symbol != lm_score.END:
+                    yield context, (1 << j) | (symbol >> (lm_score.STEPS - j)), (symbol >> (lm_score.STEPS - 1 - j)) & 1
+
+    for text in train:
+        for context, node, bit in places(text):
+            for d in range(depth + 1):
+                counts[(context[:d], node)][bit] += 1
+    children = collections.defaultdict(list)
+    for context, node in counts:
+        if context:
+            children[(context[:-1], node)].append((context, node))
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(a + b + 1)
+
+    def evidence(key):
+        own = kt(*counts[key])
+        if len(key[0]) == depth:
+            return own, 1.0
+        below = sum(evidence(c)[0] for c in children[key])
+        return np.logaddexp(own, below) - math.log(2), 1 / (1 + math.exp(min(700, below - own)))
+
+    def score(text):
+        total = 0.0
+        for context, node, bit in places(text):
+            p, below = 0.5, False
+            for d in range(depth, -1, -1):
+                key = (context[:d], node)
+                if key in counts:
+                    own = (counts[key][bit] + 0.5) / (sum(counts[key]) + 1)
+                    weight = evidence(key)[1]
+                    p, below = (weight * own + (1 - weight) * p if below else own), True
+            total += math.log10(p)
+        return total
+
+    return score
+
+
+@pytest.mark.parametrize("depth", [1, 2, 4])
+def test_lm_mixture_by_brute_force(spark, depth):
+    rng = random.Random(depth)
+    texts = ["".join(rng.choices("abA é", k=rng.randint(0, 25))) for _ in range(12)] + [None, "", "abab" * 8]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("x")).withColumn("mine", F.lit(3)).repartition(3)
+    score = _plain_ctw([t for k, t in rows if k % 3], depth)
+    got = lm_score.score(table, F.col("doc_id") % 3 != 0, depth=depth).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.score == pytest.approx(score(r.text), rel=1e-5, abs=1e-5) and r.mine == 3
+
+
+def test_lexicon_matches_by_brute_force():
+    rng = random.Random(9)
+    for _ in range(200):
+        words = {"".join(rng.choices("ab", k=rng.randint(1, 4))) for _ in range(4)}
+        phrases = {f"{rng.choice(sorted(words))} {''.join(rng.choices('ab', k=2))}" for _ in range(2)}
+        text = "".join(rng.choices("ab  .", k=rng.randint(0, 60)))
+        lexicon = toxicity.Lexicon({w: 1.0 for w in words}, phrases)
+        whole = lambda x: [m.span(1) for m in re.finditer(rf"(?<![a-z])(?=({re.escape(x)})(?![a-z]))", text)]
+        excepted = [x for p in phrases for x in whole(p)]
+        want = {(a, b, w) for w in words for a, b in whole(w) if not any(x <= a and b <= y for x, y in excepted)}
+        assert set(lexicon.matches(text)) == want
+
+
+def test_toxicity_edges(spark):
+    rows = [(1, None, "x"), (2, "", "x"), (2, "", "x"), (3, "grumbo " * 50000, "x"), (4, "ok " + "v" * 100, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string").withColumn("predicted", F.lit("mine"))
+    one = spark.createDataFrame([(1, 0), (3, 0)], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.fit(docs, one)).collect()
+    assert len(got) == 5 and len({r.score for r in got}) == 1 and all(r.score < 1e-12 and r.predicted == 0 for r in got)
+    assert all(r.score > 1 - 1e-12 for r in toxicity.score(docs, toxicity.fit(docs, one.withColumn("toxic", F.lit(1)))).collect())
+    assert toxicity.score(docs.limit(0), toxicity.fit(docs, one.limit(0))).count() == 0
+    long = "z" * 100  # long words are learnt too
+    texts = [(k, f"you {long} {'abcdefgh'[k % 8]}{k}x") for k in range(30)] + [(100 + k, f"fine day {'abcdefgh'[k % 8]}") for k in range(60)]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    lexicon = toxicity.fit(table, table.select("doc_id", (F.col("doc_id") < 100).cast("int").alias("toxic")))
+    assert long in lexicon.weights
+
+
+def test_language_forward_pass_by_brute_force(spark):
+    texts = ["Hello, World 12!", "", None, "héé à", "...", "ab", "x", "中文 字", "a" * 5000]
+    rng = np.random.default_rng(3)
+    model = language_id.Model(["aa", "bb", "cc"], rng.normal(0, 3, (language_id.BUCKETS, 3)).astype(np.float32), np.array([0.1, 0.0, -0.1]), 0.7, 0.6)
+    got = language_id.predict(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").withColumn("score", F.lit("mine")), model).collect()
+    for r in got:
+        b = [x if 97 <= x < 123 or x >= 128 else x + 32 if 65 <= x < 91 else 32 for x in (r.text or "").encode()]
+        keys = []
+        for n in (2, 3, 4):
+            for i in range(len(b) - n + 1):
+                g = b[i : i + n]
+                if g[0] == 32 and g[1] == 32:
+                    continue
+                h = 0
+                for x in g:
+                    h = (h * 257 + x) % 2**32
+                h = (h * 0x9E3779B1 + n) % 2**32
+                h ^= h >> 15
+                keys.append((h * 0x85EBCA77 % 2**32) >> 17)
+        z = (model.table[keys].astype(float).sum(axis=0) / max(1, len(keys)) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        if any(c.isalpha() for c in r.text or ""):
+            assert r.lang_pred == model.languages[int(p.argmax())] and r.score == pytest.approx(p.max(), rel=1e-4) and r.rejected == (r.score < 0.6)
+        else:
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+
+
+def test_every_language_is_learnt(spark):
+    rows = [(k * 10 + j, f"{a}{b}{a} {b}{a}{b} {a}{a}", f"l{a}{b}") for k, (a, b) in enumerate(itertools.product("abcdefghijklmnopqrstuvw", repeat=2)) for j in range(2)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), epochs=1)
+    assert len(model.languages) == 23 * 23 > 400
+
+
+def test_sharding_digests_and_balance(spark):
+    rows = [(k, f"text {k % 400} " * (1 + k % 37)) for k in range(3000)] + [(None, "hot")] * 500 + [(7, None), (8, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("size", F.lit("mine")).repartition(5)
+    got = sharding.assign(table, shards=8).collect()
+    crc = collections.Counter((r.doc_id, r.text_crc32, r["size"]) for r in got)
+    assert crc == collections.Counter((i, zlib.crc32((t or "").encode()), len((t or "").encode()) + 16) for i, t in rows)
+    loads, groups = collections.Counter(), collections.Counter()
+    for r in got:
+        loads[r.shard] += r["size"]
+        groups[(r.text_crc32, r["size"])] += r["size"]
+    assert len(loads) == 8 and max(loads.values()) <= sum(loads.values()) / 8 + max(groups.values())
+
+
+def test_equal_rows_and_clashing_columns(spark):
+    """Repeated rows stay, made columns replace their namesakes, all other columns come through."""
+    import public_tokenizers
+
+    rows = [(1, "the mit license here", "a"), (1, "the mit license here", "a"), (2, None, None), (3, "", "b")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, _id string")
+    for name in ("n_tokens", "ids", "n_words", "n_base", "labels", "score", "spans", "_words", "_hits", "_items", "lang_pred", "n_removed", "kept_text", "factors", "kept", "component_id", "_train", "_n", "_t", "_text", "u", "v"):
+        table = table.withColumn(name, F.lit("mine"))
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    made = {
+        "bpe": (bpe.encode(table, ranks), {"n_tokens", "ids"}),
+        "lm": (lm_score.score(table, F.lit(True), depth=2), {"n_tokens", "score", "n_known", "train_tokens", "base_score", "n_bytes", "bits_per_byte"}),
+        "near": (near_dup.find_groups(table), {"n_shingles", "component_id", "kept"}),
+        "repeats": (substring_dedup.find_repeats(table), {"n_words", "n_removed", "spans", "factors", "kept_text"}),
+        "hits": (decontaminate.find_hits(table, spark.createDataFrame([(1, "mit license")], "item_id long, text string")), {"_words", "_n_hit", "_hits", "_items"}),
+        "lang": (language_id.predict(table, language_id.fit(table.withColumn("lang", F.lit("en")))), {"lang_pred", "score", "rejected"}),
+        "licence": (license_scan.scan(table), set(license_scan.SCHEMA.names)),
+        "quality": (quality.count(table), {*quality.COUNTS, "n_lines"}),
+    }
+    for name, (df, replaced) in made.items():
+        got = df.collect()
+        assert len(got) == 4, name
+        assert set(table.columns) - replaced <= set(df.columns), name
+        for r in got:
+            assert all(r[c] == "mine" for c in table.columns if c not in replaced and c not in ("doc_id", "text", "_id")), name
+        assert _tally((r.doc_id, r.text, r._id) for r in got) == _tally(rows), name
+    assert near_dup.representatives(table).columns == table.columns and near_dup.representatives(table).count() == 4
+    assert quality.keep_good(table.withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit("s"))).count() == 0
+
+
+def test_stages_on_empty_and_odd_tables(spark, tmp_path):
+    """Nulls, empty and repeated rows, extra columns: every stage keeps its input's columns; the last one's result decodes."""
+    import corpus_pipeline
+
+    good = " ".join(f"word{k} and{k % 7}" for k in range(40))
+    rows = [(1, good, "en", "s", 0), (1, good, "en", "s", 0), (2, None, None, None, None), (3, "", "en", "s", 0), (None, good.replace("word", "Word"), "en", "s", 0), (4, good + " more", "en", None, 0)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("kept", F.lit("mine")).withColumn("_id", F.lit("mine"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        for docs in (table, table.limit(0)):
+            done = stage(spark, docs, SF)
+            if k < 4:
+                assert done.columns == docs.columns
+            else:
+                assert {r.text for r in done.collect()} <= {r[1] or "" for r in rows}
+            assert done.count() <= docs.count()
+
+
+@pytest.mark.parametrize("name", ["op4_near_dup", "op6_quality", "op7_substring_dedup", "op8_decontamination"])
+def test_sql_twins(spark, name):
+    import duckdb
+
+    from veloria.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    result = con.execute(queries.oracle_sql()[name])
+    columns = sorted(c[0] for c in result.description)
+    order = [[c[0] for c in result.description].index(c) for c in columns]
+    df = queries.queries()[name](spark, SF)
+    assert sorted(df.columns) == columns
+    assert _tally(tuple(r[c] for c in columns) for r in df.collect()) == _tally(tuple(r[i] for i in order) for r in result.fetchall())
+
+
 def test_empty_tables(spark, frame):
     none = frame.limit(0)
     assert substring_dedup.find_repeats(none).count() == 0
@@ -427,6 +665,10 @@ def test_empty_tables(spark, frame):
     assert bpe.encode(none, {b"a": 0}).count() == 0
     assert lm_score.score(none, F.lit(True)).count() == 0
     assert license_scan.scan(none).count() == 0
+    bench = spark.createDataFrame([(1, "x y")], "item_id long, text string")
+    assert decontaminate.find_hits(none, bench).count() == 0 and decontaminate.decontaminate(none, bench.limit(0)).count() == 0
+    assert language_id.predict(none, language_id.fit(none)).count() == 0
+    assert near_dup.representatives(none).count() == 0
 
 
 def test_pipeline_stages(spark, tmp_path):

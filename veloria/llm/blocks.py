@@ -14,10 +14,13 @@ would shuffle many times the input.  Instead
 What is shuffled grows with distinct keys a block, not with occurrences; a
 key in a third of all rows is one entry a block, so there is no hot group.
 There are enough buckets for the input's bytes, so what a bucket holds does
-not grow with the corpus.  A block's number holds its partition, its order
-there and a checksum of its texts.  A task that runs again makes the same
-blocks; if a source deals its rows differently when it is read a second time,
-numbers do not meet and ``finish`` raises instead of guessing.
+not grow with the corpus.
+
+The source is read twice, so it must deal its rows alike both times.  ``steady``
+stores one that is the result of a shuffle; a scan of files is read as it is.
+A block's number holds its partition, its order there and a checksum of its
+texts, so that a source that deals its rows differently all the same makes
+``finish`` raise instead of guessing.
 """
 
 from __future__ import annotations
@@ -269,3 +272,8 @@ def stored(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the cluster's shared checkpoint folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def steady(df: DataFrame) -> DataFrame:
+    """df, stored if its rows come out of a shuffle, whose order may change when it runs again."""
+    return stored(df) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df

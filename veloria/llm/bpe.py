@@ -121,6 +121,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs with n_tokens and ids."""
+    keep = keep if keep is not None else docs.columns
+    docs = blocks.steady(docs.select(*dict.fromkeys([*keep, text])))
     sc, buckets = docs.sparkSession.sparkContext, blocks.bucket_count(docs)
     shared = sc.broadcast(ranks)  # bounded: one vocabulary
 
@@ -177,7 +179,6 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, text: str = "text", keep
             n_tokens.append(total)
         return {"n_tokens": pa.array(n_tokens, pa.int64()), "ids": pa.array(ids, pa.binary())}
 
-    keep = [c for c in (keep if keep is not None else docs.columns)]
     answers = blocks.resolve(blocks.ask(docs, text, [], extract), answer)
     return blocks.finish(docs, text, keep, answers, prepare, conclude, arrowmap.schema("n_tokens long, ids binary"))
 

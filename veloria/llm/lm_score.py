@@ -24,7 +24,9 @@ one end a text.
 Defined results: a null text is scored as an empty one (an end only);
 repeated rows are scored, and if they are training rows counted, one by one;
 with no training row every step has probability 1/2; a null id is a training
-row; other columns are carried along.
+row; an empty table gives an empty table; other columns are carried along, and
+one called n_tokens, n_known, train_tokens, base_score, score, n_bytes or
+bits_per_byte is replaced.  Words are counted by 64-bit hashes of their bytes.
 """
 
 from __future__ import annotations
@@ -213,12 +215,15 @@ def score(docs: DataFrame, training, *, text: str = "text", depth: int = DEPTH,
     """
     spark = docs.sparkSession
     sc, buckets = spark.sparkContext, blocks.bucket_count(docs)
-    keep = [c for c in (keep if keep is not None else docs.columns) if c != "_train"]
-    docs = docs.withColumn("_train", F.coalesce(training, F.lit(True)))
+    keep = keep if keep is not None else docs.columns
+    flag = "_train"
+    while flag in docs.columns:  # a name of its own beside the caller's columns
+        flag += "_"
+    docs = blocks.steady(docs.withColumn(flag, F.coalesce(training, F.lit(True))).select(*dict.fromkeys([*keep, text, flag])))
     edge = min(depth, 3)
 
     def extract(table: pa.Table) -> Iterator[tuple[int, bytes]]:
-        texts, train = table.column(text), np.array(table.column("_train"), bool)
+        texts, train = table.column(text), np.array(table.column(flag), bool)
         symbols, begins = _symbols(texts, depth)
         codes, at, rank = _pairs(symbols, depth)
         learnt = np.repeat(train, np.diff(begins))[at]
@@ -320,7 +325,7 @@ def score(docs: DataFrame, training, *, text: str = "text", depth: int = DEPTH,
             "base_score": pa.array(base, pa.float64()), "score": pa.array(total, pa.float64()), "n_bytes": pa.array(n_bytes, pa.int64()), "bits_per_byte": pa.array(-total / np.log10(2) / np.maximum(n_bytes, 1), pa.float64()),
         }
 
-    asked = blocks.ask(docs, text, ["_train"], extract)
+    asked = blocks.ask(docs, text, [flag], extract)
     asked = blocks.stored(asked)
     nodes = asked.groupBy("bucket").applyInArrow(summarise, "node long, a double, b double, e double").groupBy("node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("e").alias("e"))
     rows = nodes.toPandas().sort_values("node")  # bounded: 257 x 257 contexts, 257 nodes each

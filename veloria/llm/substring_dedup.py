@@ -183,6 +183,8 @@ class Reference:
 
 def find_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 13, keep: list[str] | None = None, reference_blocks: int | None = None, passage_windows: int = PASSAGE_WINDOWS) -> DataFrame:
     """docs with n_words, n_removed, spans (first and past-the-end words, in turn), factors (first word, words and reference id, in turn) and kept_text (the other words, joined by spaces)."""
+    keep = keep if keep is not None else docs.columns
+    docs = blocks.steady(docs.select(*dict.fromkeys([*keep, key, text])))
     buckets = reference_blocks or blocks.bucket_count(docs)
 
     def ask_anchors(table: pa.Table) -> Iterator[tuple[int, bytes]]:
@@ -311,7 +313,6 @@ def find_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n:
         whole = lambda x: pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64())
         return {"n_words": whole(n_words), "n_removed": whole(n_removed), "spans": pa.array(spans, pa.list_(pa.int64())), "factors": pa.array(factors, pa.list_(pa.int64())), "kept_text": pa.array(kept, pa.string())}
 
-    keep = [c for c in (keep if keep is not None else docs.columns)]
     anchors = blocks.resolve(blocks.ask(docs, text, [], ask_anchors), answer_anchors)
     passages = blocks.meet(docs, text, [key], anchors, prepare, list_passages, blocks._ASKED)
     found = blocks.resolve(passages, answer_passages)
