@@ -1,7 +1,8 @@
 """Temporal evaluation: ranking metrics, matched groups, lead time, calibration, re-scoring.
 
 Metrics never sort a whole table in one task: rows are first counted by
-distinct score (partial aggregation), and windows run over those counts.
+distinct score (partial aggregation), and running sums over those counts are
+made in ranges (``ranking``).
 """
 
 from __future__ import annotations
@@ -12,13 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veloria.functions.columns import draw, ratio
+from veloria.operators.ranking import numbered, running
 
 
 def by_score(rows: DataFrame, by: list[str], score: str = "score", label: str = "y") -> DataFrame:
     """Per distinct score: rows, positives, and both summed up from the highest score down."""
     g = rows.groupBy(*by, F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(label).alias("tp"))
-    down, whole = Window.partitionBy(*by).orderBy(F.desc("s")), Window.partitionBy(*by)
-    return g.select(*by, "s", "n", "tp", F.sum("tp").over(down).alias("ctp"), F.sum("n").over(down).alias("cn"), F.sum("tp").over(whole).alias("p"), F.sum("n").over(whole).alias("all"))
+    c = running(g, "s", ["tp", "n"], by)
+    return c.select(*by, "s", "n", "tp", F.col("c_tp").alias("ctp"), F.col("c_n").alias("cn"), F.col("t_tp").alias("p"), F.col("t_n").alias("all"))
 
 
 def average_precision(rows: DataFrame, by: list[str] = [], score: str = "score", label: str = "y") -> DataFrame:  # noqa: B006
@@ -69,10 +71,8 @@ def person_summary(scored: DataFrame) -> DataFrame:
 
 def matched_ranks(summary: DataFrame) -> DataFrame:
     """Expected rank of each group's positive under ties, in closed form."""
-    own = Window.partitionBy("grp")
     pos = summary.filter("positive").select("grp", F.col("peak").alias("p"))
     j = summary.join(pos, "grp").groupBy("grp").agg(F.count_if(F.col("peak") > F.col("p")).alias("h"), F.count_if(F.col("peak") == F.col("p")).alias("t"), F.count("*").alias("n")).filter("n > 1")
-    del own
     half = F.ceil(F.col("n") / 2)
     first = F.when(F.col("h") == 0, 1 / F.col("t")).otherwise(F.lit(0.0))
     top = F.least(F.greatest(half - F.col("h"), F.lit(0)), F.col("t")) / F.col("t")
@@ -99,20 +99,8 @@ def precision_at(summary: DataFrame, ks: list[int]) -> DataFrame:
     return each.join(F.broadcast(base)).select(F.col("k").cast("long").alias("k"), (F.col("hit") / F.col("n")).alias("precision"), (F.col("hit") / F.col("p")).alias("recall"), (F.col("hit") / F.col("n") / (F.col("p") / F.col("all"))).alias("lift"))
 
 
-def ranked(rows: DataFrame, order: list[Column], buckets: str) -> DataFrame:
-    """Global positions from 1 without one task that sorts all rows.
-
-    Rows are counted by ``buckets`` (a column the order begins with); offsets
-    run over those counts and rows are numbered within their bucket.
-    """
-    counts = rows.groupBy(buckets).count()
-    offsets = counts.select(F.col(buckets).alias("_k"), F.coalesce(F.sum("count").over(Window.orderBy(F.desc(buckets)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"), F.sum("count").over(Window.partitionBy()).alias("_all"))
-    own = Window.partitionBy(buckets).orderBy(*order)
-    return rows.join(offsets, F.col(buckets) == F.col("_k")).withColumn("rank", F.row_number().over(own) + F.col("_o")).drop("_k", "_o")
-
-
 def score_percentiles(summary: DataFrame) -> DataFrame:
-    r = ranked(summary, [F.desc("peak"), F.asc("actor")], "peak")
+    r = numbered(summary, "peak", [F.asc("actor")])
     return r.select("actor", F.col("rank").cast("long").alias("rank"), ((F.col("_all") - F.col("rank") + 1) / F.col("_all")).alias("percentile"))
 
 
@@ -148,9 +136,8 @@ def calibration(scored: DataFrame, population: float = 0.01) -> DataFrame:
 
 def mid_ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
     """(value, name): average rank of each distinct value."""
-    c = rows.groupBy(value).count()
-    upto = F.sum("count").over(Window.orderBy(value))
-    return c.select(F.col(value), (upto - (F.col("count") - 1) / 2).alias(name))
+    c = running(rows.groupBy(value).agg(F.count("*").alias("n")), value, ["n"], [], falling=False)
+    return c.select(F.col(value), (F.col("c_n") - (F.col("n") - 1) / 2).alias(name))
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:

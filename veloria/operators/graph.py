@@ -35,11 +35,15 @@ def degrees(neighbours: DataFrame) -> DataFrame:
     return d.agg(F.count("*").alias("actors"), F.min("degree").alias("least"), F.percentile("degree", F.array(*map(F.lit, q))).alias("_q"), F.max("degree").alias("most"), F.avg("degree").alias("mean")).select("actors", "least", *(F.col("_q")[k].alias(f"p{int(x * 100)}") for k, x in enumerate(q)), "most", "mean")
 
 
-def onsets(contrib: DataFrame, people: DataFrame) -> DataFrame:
-    """When two cohort members of one group of batches first shared a repository, and how long before the batch."""
-    first = contrib.groupBy("actor", "repo").agg(F.min("m").alias("f")).join(people.select("actor", "b"), "actor")
-    other = first.select(F.col("actor").alias("other"), "repo", F.col("f").alias("g"), F.col("b").alias("ob"))
-    both = first.join(other, "repo").filter((F.col("actor") < F.col("other")) & (F.col("b") == F.col("ob")))
+def onsets(contrib: DataFrame, people: DataFrame, small: int) -> DataFrame:
+    """When two cohort members of one group of batches first shared a repository, and how long before the batch.
+
+    Only repositories that ``rooms`` keeps make pairs; members meet by repository and batch.
+    """
+    kept = contrib.join(rooms(contrib, small).select("repo"), "repo", "left_semi")
+    first = kept.groupBy("actor", "repo").agg(F.min("m").alias("f")).join(people.select("actor", "b"), "actor")
+    other = first.select(F.col("actor").alias("other"), "repo", F.col("f").alias("g"), "b")
+    both = first.join(other, ["repo", "b"]).filter(F.col("actor") < F.col("other"))
     met = both.groupBy("actor", "other", "b").agg(F.min(F.greatest("f", "g")).alias("onset"), F.count("*").alias("shared")).filter("onset < b")
     tier = F.when(F.col("shared") >= 2, "strong").when(F.col("b") - F.col("onset") >= 12, "early").otherwise("late")
     return met.select("actor", "other", "onset", (F.col("b") - F.col("onset")).alias("lead"), "shared", tier.alias("tier"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veloria.functions.columns import draw, is_bot
 from veloria.functions.dates import is_weekend, month_date
+from veloria.sources.shared import stored
 
 #: Months of history before an actor's cutoff, and the cutoff's distance from the batch month.
 HISTORY, LEAD = 48, 12
@@ -81,33 +81,31 @@ def hash_candidates(events: DataFrame, people: DataFrame, excluded: DataFrame, m
 
 
 def band_pairs(positives: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Candidates in a positive's band: same cutoff, half to twice the total, first year within one."""
+    """Candidates in a positive's band: same cutoff, half to twice the total, first year within one.
+
+    Both sides meet by cutoff, year and power of two of the total, so that a
+    cutoff's candidates are not compared with all of its positives.
+    """
+    power = lambda c: F.floor(F.log2(c)).cast("long")
     x = positives.select(F.col("actor").alias("positive"), "cutoff", F.col("total_events").alias("p_total"), F.col("first_seen_year").alias("p_year"))
-    rows = candidates.join(x, "cutoff").filter((F.col("total_events") >= 0.5 * F.col("p_total")) & (F.col("total_events") <= 2 * F.col("p_total")) & (F.abs(F.col("first_seen_year") - F.col("p_year")) <= 1))
+    x = x.select("*", F.explode(F.sequence(power(F.col("p_total")) - 1, power(F.col("p_total")) + 1)).alias("_power")).select("*", F.explode(F.sequence(F.col("p_year") - 1, F.col("p_year") + 1)).alias("_year"))
+    rows = candidates.withColumns({"_power": power(F.col("total_events")), "_year": F.col("first_seen_year")}).join(x, ["cutoff", "_power", "_year"]).filter((F.col("total_events") >= 0.5 * F.col("p_total")) & (F.col("total_events") <= 2 * F.col("p_total")) & (F.abs(F.col("first_seen_year") - F.col("p_year")) <= 1))
     order = Window.partitionBy("positive", "cutoff").orderBy(F.md5(F.col("actor").cast("string")), "actor")
     return rows.select("positive", F.col("actor").alias("candidate"), "cutoff", F.row_number().over(order).cast("long").alias("order_rank"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the cluster's shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:  # a session of tests that names no folder
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
-
-
 def match_components(pairs: DataFrame) -> DataFrame:
     """(positive, component): positives linked by shared candidates have their least positive as component.
 
     Minima run over candidates and back, and then on to the label's own label, so rounds grow slowly with the length of a chain.
     """
-    links = _kept(pairs.select("positive", "candidate").distinct())
-    labels = _kept(links.select("positive", F.col("positive").alias("component")).distinct())
+    links = stored(pairs.select("positive", "candidate").distinct())
+    labels = stored(links.select("positive", F.col("positive").alias("component")).distinct())
     while True:
         least = links.join(labels, "positive").groupBy("candidate").agg(F.min("component").alias("c"))
         near = links.join(least, "candidate").groupBy("positive").agg(F.min("c").alias("c"))
         beyond = labels.select(F.col("positive").alias("c"), F.col("component").alias("d"))
-        moved = _kept(labels.join(near, "positive").join(beyond, "c").select("positive", F.least("component", "c", "d").alias("new"), "component"))
+        moved = stored(labels.join(near, "positive").join(beyond, "c").select("positive", F.least("component", "c", "d").alias("new"), "component"))
         labels = moved.select("positive", F.col("new").alias("component"))
         if moved.filter("new <> component").isEmpty():
             return labels
@@ -131,7 +129,7 @@ def greedy_match(pairs: DataFrame, k: int = 5, offset: int = 0) -> DataFrame:
             out += [(c, positive, cutoff, r + 1) for r, c in enumerate(free)]
         return pd.DataFrame(out, columns=["control", "positive", "cutoff", "match_rank"])
 
-    pairs = _kept(pairs)
+    pairs = stored(pairs)
     linked = pairs.join(match_components(pairs), "positive")
     return linked.groupBy("component").applyInPandas(match, "control long, positive long, cutoff long, match_rank long")
 

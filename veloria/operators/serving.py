@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veloria.functions.columns import ratio
+from veloria.operators.ranking import numbered
 
 
 def evidence_rollup(events: DataFrame) -> DataFrame:
@@ -47,9 +48,9 @@ def evidence(rows: DataFrame, *, actor: int | None = None, kind: str | None = No
 def rerank(rows: DataFrame, fit: Column, weights: tuple[float, float, float] = (0.7, 0.2, 0.1)) -> DataFrame:
     """Score, momentum and fit mixed; the rank before, after, and the difference."""
     adjusted = F.col("peak") * weights[0] + F.greatest(F.lit(0.0), 4 * F.coalesce("momentum", F.lit(0.0))) * weights[1] + fit.cast("double") * weights[2]
-    x = rows.withColumn("adjusted", F.round(adjusted, 6))
-    old, new = F.row_number().over(Window.orderBy(F.desc("peak"), "actor")), F.row_number().over(Window.orderBy(F.desc("adjusted"), "actor"))
-    return x.select("actor", "adjusted", old.cast("long").alias("rank_before"), new.cast("long").alias("rank"), (old - new).cast("long").alias("rank_delta"))
+    x = rows.select("actor", "peak", F.round(adjusted, 6).alias("adjusted"))
+    both = numbered(numbered(x, "peak", [F.asc("actor")], "old").drop("_all"), "adjusted", [F.asc("actor")], "new")
+    return both.select("actor", "adjusted", F.col("old").cast("long").alias("rank_before"), F.col("new").cast("long").alias("rank"), (F.col("old") - F.col("new")).cast("long").alias("rank_delta"))
 
 
 def axes(rows: DataFrame) -> DataFrame:
@@ -81,12 +82,54 @@ def health(parts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-_START, _DENIED = re.compile(r"^\s*(select|with|explain)\b", re.I), re.compile(r"\b(insert|update|delete|drop|create|alter|truncate|merge|grant|revoke|set|reset|refresh|cache|uncache|add|load|export|copy|use|call|msck|analyze|transform|reflect|java_method)\b", re.I)
+#: Nodes of a parsed plan that only read; anything else (commands, inserts, scripts) is refused.
+_READS = {
+    "Project", "Filter", "Aggregate", "Join", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Union", "Intersect", "Except", "Distinct", "SubqueryAlias", "UnresolvedRelation", "UnresolvedWith", "UnresolvedHaving", "UnresolvedSubqueryColumnAliases", "UnresolvedInlineTable", "ResolvedInlineTable",
+    "OneRowRelation", "Generate", "Window", "WithWindowDefinition", "Pivot", "Unpivot", "Tail", "LocalRelation", "LateralJoin", "CTERelationDef", "UnresolvedTableValuedFunction", "Sample", "AsOfJoin", "ExplainCommand",
+}
+#: Functions that leave the engine.
+_OUTSIDE = re.compile(r"\b(reflect|java_method|try_reflect)\s*\(", re.I)
+
+
+def _nodes(plan) -> list:
+    """A parsed plan's nodes, those in subqueries and common tables too."""
+    out, todo = [], [plan]
+    while todo:
+        p = todo.pop()
+        out.append(p)
+        for part in (p.children(), p.innerChildren(), p.subqueries()):
+            todo += [part.apply(k) for k in range(part.size())]
+        if p.getClass().getSimpleName() == "ExplainCommand":
+            todo.append(p.logicalPlan())
+    return out
 
 
-def guarded_sql(spark: SparkSession, text: str, most: int = 1000, size: int = 256 * 1024) -> DataFrame:
-    """One read-only statement, at most ``most`` rows of it; anything else raises."""
-    bare = re.sub(r"'(?:[^']|'')*'", "''", re.sub(r"--[^\n]*|/\*.*?\*/", " ", text, flags=re.S)).strip().rstrip(";")
-    if len(text.encode()) > size or ";" in bare or not _START.search(bare) or _DENIED.search(bare):
-        raise ValueError("only one read-only SELECT, WITH or EXPLAIN statement is allowed")
+def guarded_sql(spark: SparkSession, text: str, most: int = 1000, size: int = 256 * 1024, tables: set[str] | None = None) -> DataFrame:
+    """One read-only statement, at most ``most`` rows of it; anything else raises ValueError.
+
+    The parsed plan is judged, not the text, so that a column may be called what
+    it likes.  Relations are names of one part, among ``tables`` if given; files
+    (parquet.`/path`) are refused.
+    """
+    if len(text.encode()) > size:
+        raise ValueError("the statement is too long")
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text.strip().rstrip(";"))
+    except Exception as e:  # the parser's own class is the JVM's
+        raise ValueError("only one read-only SELECT or WITH statement is allowed") from e
+    nodes = _nodes(plan)
+    kinds = {p.getClass().getSimpleName().rstrip("$") for p in nodes}
+    if unknown := kinds - _READS:
+        raise ValueError(f"only reads are allowed, not {', '.join(sorted(unknown))}")
+    known = {t.lower() for t in tables or ()}
+    for p in nodes:
+        if p.getClass().getSimpleName() == "UnresolvedWith":  # common tables are relations too
+            known |= {p.cteRelations().apply(k)._1().lower() for k in range(p.cteRelations().size())}
+    for p in nodes:
+        if p.getClass().getSimpleName() == "UnresolvedRelation":
+            parts = [p.multipartIdentifier().apply(k) for k in range(p.multipartIdentifier().size())]
+            if len(parts) != 1 or (tables is not None and parts[0].lower() not in known):
+                raise ValueError(f"relation {'.'.join(parts)} is not served")
+    if _OUTSIDE.search(re.sub(r"'(?:[^']|'')*'", "''", text)):
+        raise ValueError("functions outside of the engine are not served")
     return spark.sql(text.strip().rstrip(";")).limit(most)

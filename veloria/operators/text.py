@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from veloria.functions.columns import fold_marks, host, strip_html
+from veloria.sources.shared import stored
 
 
 @pandas_udf(T.StringType())
@@ -76,15 +77,6 @@ def prior_context(turns: DataFrame) -> DataFrame:
     return turns.select("conv_id", "turn", F.count("*").over(before).alias("n_prior"), F.coalesce(F.sum(F.char_length("text")).over(before), F.lit(0)).alias("prior_chars"))
 
 
-def title_matches(titles: DataFrame, docs: DataFrame) -> DataFrame:
-    """Documents that hold a title's first two words next to each other, by an equi-join on word pairs."""
-    words = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
-    pair = lambda w: F.when(F.size(w) >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat(F.element_at(w, i), F.lit(" "), F.element_at(w, i + 1)))))
-    t = titles.select("title_id", words(F.col("title")).alias("w")).filter(F.size("w") >= 2).select("title_id", F.concat(F.col("w")[0], F.lit(" "), F.col("w")[1]).alias("pair"))
-    d = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(pair(F.col("w"))).alias("pair"))
-    return t.join(d, "pair").select("title_id", "doc_id", "pair")
-
-
 def pages_text(pages: DataFrame) -> DataFrame:
     """Title, host and visible length of each page."""
     title = F.trim(F.regexp_replace(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
@@ -107,9 +99,9 @@ def search(docs: DataFrame, query: str, *, title_weight: float = 5.0, k1: float
     wanted = [w for w in re.split(r"[^a-z0-9]+", query.lower()) if w]
     if not wanted:
         raise ValueError("an empty query")
-    sized = docs.select("kind", "doc_id", (F.size(tokens(F.col("title"))) + F.size(tokens(F.col("body")))).alias("size"))
-    totals = sized.agg(F.count("*").alias("n"), F.avg(F.col("size").cast("double")).alias("mean"))
-    index = inverted_index(docs)
+    index = stored(inverted_index(docs))  # texts are tokenised once, whatever is asked
+    sized = index.groupBy("kind", "doc_id").agg(F.sum(F.col("title_n") + F.col("body_n")).alias("size"))
+    totals = sized.agg(F.sum("size").alias("tokens")).join(F.broadcast(docs.agg(F.count("*").alias("n")))).select("n", (F.col("tokens") / F.col("n")).alias("mean"))
     hit = [index.filter(F.col("token").startswith(w)).groupBy("kind", "doc_id").agg((title_weight * F.sum("title_n") + F.sum("body_n")).alias("f")).withColumn("q", F.lit(k)) for k, w in enumerate(wanted)]
     every = hit[0]
     for h in hit[1:]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from veloria.functions.columns import tidy
 from veloria.operators import lifecycle as op
 from veloria.plans import panel
+from veloria.sources.shared import stored
 
 #: Rounds of boosting; the panel's signal is weak, and more do not rank it better.
 ROUNDS = 3
@@ -29,14 +30,7 @@ def features() -> list[str]:
 
 def rows(s, d):
     frame = panel.flagship(s, d)
-    return _stored(frame.select("actor", "m", "y", "split", *(F.col(f).cast("double").alias(f) for f in features())))
-
-
-def _stored(df):
-    """df, cut from its lineage: every fit reads it again."""
-    from veloria.operators.ingest import _kept
-
-    return _kept(df)
+    return stored(frame.select("actor", "m", "y", "split", *(F.col(f).cast("double").alias(f) for f in features())))
 
 
 def _table(s, out: list[dict]):

@@ -1,13 +1,22 @@
-"""Event-time windows as Structured Streaming (an extension of the batch operators)."""
+"""Event-time windows as Structured Streaming (an extension of the batch operators).
+
+Windows are appended to a table once the watermark has closed them, so state
+holds no more than the open ones.
+"""
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from veloria.sources.shared import shared_folder
+
+#: The time of the mark that ends a bounded stream.
+END = "2200-01-01 00:00:00"
 
 
 def tumbling(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
@@ -22,25 +31,36 @@ def sessions(events: DataFrame, gap: str = "12 hours", late: str = "2 days") ->
     return events.withWatermark("ts", late).groupBy(w, "user_id").agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), "user_id", "n")
 
 
-def stream(spark: SparkSession, folder: str, name: str = "events", files: int | None = None) -> DataFrame:
+def stream(spark: SparkSession, folder: str, schema: T.StructType, name: str = "events", files: int | None = None) -> DataFrame:
     """A table as a stream; times become instants in UTC, as watermarks need."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
     if files:
         reader = reader.option("maxFilesPerTrigger", files)
     return reader.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(result: DataFrame, mode: str = "complete") -> DataFrame:
-    """Everything the stream has to say, as a table (for bounded streams)."""
-    spark, name = result.sparkSession, f"drained_{uuid.uuid4().hex}"
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{shared}/{name}" if shared else tempfile.mkdtemp(prefix=name)
-    query = result.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", folder).trigger(availableNow=True).start()
+def appended(result: DataFrame, table: str, checkpoint: str) -> None:
+    """Adds what is closed by now to a Parquet table; a repeated call goes on where the last one ended."""
+    query = result.writeStream.outputMode("append").format("parquet").option("path", table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-        if not shared:
-            shutil.rmtree(folder, ignore_errors=True)
-    return spark.table(name)
+
+
+def drained(spark: SparkSession, folder: str, window: Callable[[DataFrame], DataFrame], name: str = "events", files: int | None = None) -> DataFrame:
+    """All windows of a bounded stream, as a table in the shared folder.
+
+    The stream is read to its end; then a mark far in the future moves the
+    watermark past everything, which closes the windows that are still open.
+    """
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    spark.createDataFrame([], schema).write.parquet(f"{base}/marks")
+    marks = spark.readStream.schema(schema).parquet(f"{base}/marks").withColumn("ts", F.col("ts").cast("timestamp"))
+    result = window(stream(spark, folder, schema, name, files).unionByName(marks))
+    appended(result, f"{base}/table", f"{base}/checkpoint")
+    mark = spark.range(1).select(*(F.lit(END if f.name == "ts" else None).cast(f.dataType).alias(f.name) for f in schema))
+    mark.write.mode("append").parquet(f"{base}/marks")
+    appended(result, f"{base}/table", f"{base}/checkpoint")
+    return spark.read.schema(result.schema).parquet(f"{base}/table")
