@@ -426,12 +426,8 @@ def _grid_quartiles(values):
     return [value(at[max(0, math.ceil(q * len(at)) - 1)]) for q in (0.25, 0.75)]
 
 
-def test_quality_verdict_by_brute_force(spark, frame, docs):
-    rng = random.Random(6)
-    prose = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(n))
-    more = [(5000 + k, prose(30) + " #" * rng.choice([0, 0, 0, 1, 9]) + rng.choice(["", "\nx\nx\nx", " abcdefghijklmnopqrstuvwxyz" * 3]), rng.choice(["en", None]), rng.choice(["s", "hot"])) for k in range(240)]
-    rows = docs + more
-    table = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k long, doc_id long, text string, lang string, source string")
+def _plain_quality(rows):
+    """The verdict of each row (id, text, lang, source)."""
     shares = []
     for _, t, _, _ in rows:
         t = t or ""
@@ -444,20 +440,103 @@ def test_quality_verdict_by_brute_force(spark, frame, docs):
         chars, part = sum(map(len, w)), lambda a, b: a / b if b else 0.0
         failed = len(w) < 10 or 100 * len(cover) > 20 * len(w)
         shares.append((failed, {"symbols": part(len(re.findall(r"[#*$%&|<>]", t)), chars), "lines": part(len(lines) - len(set(lines)), len(lines)), "repeats": part(len(cover), len(w)), "length": part(chars, len(w))}))
-    want = {}
-    for k, (failed, own) in enumerate(shares):
-        ok = not failed
-        for m, spread in quality.LEAST_SPREAD.items():
-            for same in ((2, 3), (2,), ()):
-                group = [x[1][m] for x, r in zip(shares, rows, strict=True) if all(r[c] == rows[k][c] for c in same)]
-                if len(group) >= quality.LEAST_ROWS or not same:
+    limits = {}
+
+    def limit(m, lang, source):
+        if (m, lang, source) not in limits:
+            for same in (lambda r: r[2:4] == (lang, source), lambda r: r[2] == lang, lambda r: True):
+                group = [x[1][m] for x, r in zip(shares, rows, strict=True) if same(r)]
+                if len(group) >= quality.LEAST_ROWS:
                     break
             q1, q3 = _grid_quartiles(group)
-            reach = quality.REACH * max(q3 - q1, spread)
-            ok &= own[m] <= q3 + reach and (m not in quality.TWO_SIDED or own[m] >= q1 - reach)
-        want[k] = ok
-    assert 0 < sum(want.values()) < len(want)
-    assert {r.k for r in quality.keep_good(table).collect()} == {k for k, ok in want.items() if ok}
+            reach = quality.REACH * max(q3 - q1, quality.LEAST_SPREAD[m])
+            limits[(m, lang, source)] = (q1 - reach if m in quality.TWO_SIDED else -1.0, q3 + reach)
+        return limits[(m, lang, source)]
+
+    return [not failed and all(limit(m, *r[2:4])[0] <= own[m] <= limit(m, *r[2:4])[1] for m in own) for (failed, own), r in zip(shares, rows, strict=True)]
+
+
+def test_quality_verdict_by_brute_force(spark, frame, docs):
+    rng = random.Random(6)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(n))
+    more = [(5000 + k, prose(30) + " #" * rng.choice([0, 0, 0, 1, 9]) + rng.choice(["", "\nx\nx\nx", " abcdefghijklmnopqrstuvwxyz" * 3]), rng.choice(["en", None]), rng.choice(["s", "hot"])) for k in range(240)]
+    rows = docs + more
+    table = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k long, doc_id long, text string, lang string, source string")
+    want = {k for k, ok in enumerate(_plain_quality(rows)) if ok}
+    assert 0 < len(want) < len(rows)
+    assert {r.k for r in quality.keep_good(table).collect()} == want
+
+
+def _plain_pipeline(rows, items, encoder):
+    """What the corpus pipeline leaves of rows (id, text, lang, source), by trying everything."""
+    rows = [r for r, ok in zip(rows, _plain_quality(rows), strict=True) if ok]
+    sets = {}
+    for i, t, _, _ in rows:
+        w = WORD.findall(t.translate(LOWER))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    group = _components({i: s for i, s in sets.items() if i is not None}, 80)
+    rows = [r for r in rows if r[0] is None or group[r[0]] == r[0]]
+    rank = lambda i: float("inf") if i is None else i
+    first, out = {}, []
+    for i, t, _, _ in rows:
+        w = WORD.findall(t)
+        for k in range(len(w) - 12):
+            key = tuple(w[k : k + 13])
+            first[key] = min(first.get(key, float("inf")), rank(i))
+    for i, t, *rest in rows:
+        w = WORD.findall(t)
+        gone = {j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < rank(i) for j in range(k, k + 13)}
+        if len(gone) < len(w):
+            out.append((i, " ".join(x for k, x in enumerate(w) if k not in gone) if gone else t, *rest))
+    windows = set()
+    for _, t in items:
+        w = ALNUM.findall((t or "").translate(LOWER))
+        windows |= {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9) if w else 0)}
+    rows, out = out, []
+    for i, t, *rest in rows:
+        places = [m.span() for m in ALNUM.finditer(t.translate(LOWER))]
+        w, hit = [t.translate(LOWER)[a:b] for a, b in places], set()
+        for size in {len(x) for x in windows}:
+            for k in range(len(w) - size + 1):
+                if tuple(w[k : k + size]) in windows:
+                    hit.update(range(k, k + size))
+        if not hit or len(hit) < len(w):
+            cut = set()
+            for k in hit:
+                cut.update(range(places[k][0], places[k + 1][0] if k + 1 in hit else places[k][1]))
+            text = "".join(c for j, c in enumerate(t) if j not in cut)
+            ids = encoder.encode_ordinary(text)
+            out.append((i, text, *rest, len(ids), np.array(ids, "<u4").tobytes()))
+    return out
+
+
+def test_pipeline_by_brute_force(spark, docs, tmp_path):
+    import corpus_pipeline
+    import public_tokenizers
+    import tiktoken
+
+    rng = random.Random(12)
+    prose = lambda n: [f"{rng.choice('bcdfgh')}{rng.choice('aeiou')}{rng.randrange(3000)}" for _ in range(n)]
+    rows = [r for r in docs]
+    shared, leak = prose(60), prose(30)
+    for k in range(60):
+        base = prose(80)
+        rows.append((6000 + 10 * k, " ".join(base), "en", "s"))
+        near = list(base)
+        near[rng.randrange(80)] = "changed"
+        rows += [(6001 + 10 * k, " ".join(near), "en", "s")] if k % 3 == 0 else []
+        rows += [(6002 + 10 * k, " ".join(base[:20] + shared + prose(25)), "en", "s")] if k % 3 == 1 else []
+        rows += [(6003 + 10 * k, " ".join(prose(20) + leak[5:25] + prose(25)) + ".", "en", "s")] if k % 3 == 2 else []
+    rows += [(8000, " ".join(leak), "en", "s"), (8001, " ".join(shared), "en", "s"), (8002, " ".join(shared), "en", "s")]
+    items = [(1, " ".join(leak)), (2, None), (3, "only three words")]
+    spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoder = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = _plain_pipeline(rows, items, encoder)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert 60 < len(want) < len(rows)
+    assert _tally((r.doc_id, r.text, r.lang, r.source, r.n_tokens, bytes(r.ids)) for r in got) == _tally(want)
 
 
 def _plain_ctw(train, depth):

@@ -16,7 +16,7 @@ bytes, add them up over the whole corpus.  Nodes of depth 3 and more live in
 one bucket.  Those of depth 0 to 2 are summed up over the buckets; they are
 broadcast, with the bound that the alphabet gives (257 x 257 contexts of 257
 nodes).  Each bucket then works out the code length of every distinct pair
-once, and the blocks add up their texts.
+once (in steps of 2^-18 digits), and the blocks add up their texts.
 
 Beside it stands the base: log10((c + 1) / (N + 1 * (V + 1))) over words and
 one end a text.
@@ -44,7 +44,12 @@ from veloria.llm.textbytes import LOWER, SPACE, Slice, hash_spans, mix, slices
 END, PAD = 256, 257
 #: Bits of a symbol: one says whether it is the end, eight are the byte.
 STEPS = 9
-DEPTH = 5
+#: Bytes of context; a node's key (9 bits a byte, 10 for the step) holds six in 64 bits.
+DEPTH = 6
+#: Code lengths travel as whole multiples of 1/SCALE digits.
+SCALE = 1 << 18
+#: Places of the table in which one round of ``_pairs`` finds distinct keys.
+_TABLE = 1 << 24
 _U = np.uint64
 #: The hash that stands for the end among words.
 _END_WORD = _U(0)
@@ -80,18 +85,20 @@ def _pairs(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.
     s, size = dense[symbols], len(alphabet)
     rank, codes = np.zeros(len(at), np.int32), np.zeros(1, _U)
     for back in (*range(1, depth + 1), 0):
-        key = rank.astype(np.int32 if len(codes) * size < 1 << 31 else np.int64) * size + s[at - back]
-        if len(codes) * size <= 1 << 26:
-            seen = np.zeros(len(codes) * size, bool)
+        last, step, done, new = s[at - back], max(1, _TABLE // size), 0, []
+        following = np.empty(len(at), np.int32)
+        for low in range(0, len(codes), step):  # ranges of contexts, each by a table
+            own = np.flatnonzero((rank >= low) & (rank < low + step)) if len(codes) > step else slice(None)
+            key = (rank[own] - np.int32(low)) * np.int32(size) + last[own]
+            seen = np.zeros(min(step, len(codes) - low) * size, bool)
             seen[key] = True
             distinct = np.flatnonzero(seen)
-            place = np.zeros(len(seen), np.int32)
-            place[distinct] = np.arange(len(distinct), dtype=np.int32)
-            rank = place[key]
-        else:
-            distinct, rank = np.unique(key, return_inverse=True)
-            rank = rank.astype(np.int32)
-        codes = (codes[distinct // size] << _U(9)) | alphabet[distinct % size].astype(_U)
+            place = np.empty(len(seen), np.int32)
+            place[distinct] = np.arange(done, done + len(distinct), dtype=np.int32)
+            following[own] = place[key]
+            done += len(distinct)
+            new.append((codes[low + distinct // size] << _U(9)) | alphabet[distinct % size].astype(_U))
+        rank, codes = following, np.concatenate(new)
     return codes, at, rank
 
 
@@ -213,6 +220,8 @@ def score(docs: DataFrame, training, *, text: str = "text", depth: int = DEPTH,
 
     ``training`` is a boolean column: the rows that the model learns from.
     """
+    if not 1 <= depth <= 6:
+        raise ValueError("a node's key holds one to six bytes of context")
     spark = docs.sparkSession
     sc, buckets = spark.sparkContext, blocks.bucket_count(docs)
     keep = keep if keep is not None else docs.columns
@@ -284,13 +293,13 @@ def score(docs: DataFrame, training, *, text: str = "text", depth: int = DEPTH,
             deep = [level]
             for _ in range(depth - edge):
                 deep.insert(0, level := shorter(level))
-            values = log10_probability(keys, [*top.value, *deep], depth).astype(np.float32)
+            values = np.rint(-SCALE * log10_probability(keys, [*top.value, *deep], depth)).astype(np.uint32)
         for block, own in asked:
             got = values[np.searchsorted(keys, own)]
-            yield block, bytes([got.itemsize]) + blocks.pack_planes(got)
+            yield block, got.dtype.char.encode() + blocks.pack_planes(got)
 
     def values_of(payload: bytes) -> np.ndarray:
-        return blocks.unpack_planes(payload[1:], np.float32 if payload[0] == 4 else np.float64).astype(np.float64)
+        return blocks.unpack_planes(payload[1:], payload[:1].decode()).astype(np.float64)
 
     def prepare(table: pa.Table) -> bytes:
         return blocks.pack_text(table, text)
@@ -300,7 +309,7 @@ def score(docs: DataFrame, training, *, text: str = "text", depth: int = DEPTH,
         symbols, begins = _symbols(texts, depth)
         codes, at, rank = _pairs(symbols, depth)
         order = np.argsort(_bucket_of(codes, depth, buckets), kind="stable")
-        got = np.concatenate([np.zeros(0), *(values_of(p) for b, p in answers if b < buckets)])
+        got = np.concatenate([np.zeros(0), *(values_of(p) / -SCALE for b, p in answers if b < buckets)])
         known = np.concatenate([np.zeros(0), *(values_of(p) for b, p in answers if b >= buckets)])
         if len(got) != len(codes):
             raise RuntimeError("a block's contexts have no scores; write the source to a table first")
