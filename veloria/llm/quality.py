@@ -40,7 +40,6 @@ LEAST_SPREAD = {"symbols": 0.01, "lines": 0.05, "repeats": 0.04, "length": 0.5}
 #: Measures with a lower limit too; few symbols or repeats are never a fault.
 TWO_SIDED = {"length"}
 _GRID = 1 + 2 * ACCURACY
-_BLANKS = " \t\n\u000b\f\r"
 _SYMBOLS = "#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -57,15 +56,13 @@ def count(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     taken = {c: f"_c{k}" for k, c in enumerate(docs.columns) if c not in (*COUNTS, "n_lines") or c == text}
     names = list(taken.values())
-    d = docs.select(*(F.col(c).alias(n) for c, n in taken.items()), F.translate(F.coalesce(F.col(text), F.lit("")), _BLANKS.replace("\n", ""), " " * (len(_BLANKS) - 1)).alias("_t"))
-    # Blanks but for line ends are plain spaces now, and splitting at one sign needs no pattern.
-    words = F.array_remove(F.split(F.translate("_t", "\n", " "), " "), "")
-    d = d.select(*names, "_t", F.transform(words, lambda w: F.xxhash64(w)).alias("_h"), F.col(taken[text]).alias("_raw"))
-    lines = F.filter(F.split(F.coalesce("_raw", F.lit("")), "\n"), lambda x: F.translate(x, _BLANKS, "") != "")
-    d = d.select(*names, "_t", "_h", lines.alias("_l"))
+    d = docs.select(*(F.col(c).alias(n) for c, n in taken.items()), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    d = d.select(*names, "_t", F.array_remove(F.split("_t", "[\\x20\\x09-\\x0D]+"), "").alias("_a"))
+    lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    d = d.select(*names, "_t", F.transform("_a", lambda w: F.xxhash64(w)).alias("_h"), F.char_length(F.array_join("_a", "")).cast("long").alias("word_chars"), lines.alias("_l"))
     h = F.col("_h")
     windows = F.when(F.size(h) >= 6, F.transform(F.sequence(F.lit(0), F.size(h) - 5), lambda i: F.xxhash64(h[i], h[i + 1], h[i + 2], h[i + 3], h[i + 4])))
-    d = d.select(*names, F.size(h).cast("long").alias("n_words"), _removed(F.col("_t"), _BLANKS).cast("long").alias("word_chars"), (F.char_length("_t") - _removed(F.col("_t"), _SYMBOLS)).cast("long").alias("n_symbols"), (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"), F.size("_l").alias("n_lines"), windows.alias("_w"))
+    d = d.select(*names, F.size(h).cast("long").alias("n_words"), "word_chars", (F.char_length("_t") - _removed(F.col("_t"), _SYMBOLS)).cast("long").alias("n_symbols"), (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"), F.size("_l").alias("n_lines"), windows.alias("_w"))
     w = F.col("_w")
     placed = F.when(F.size(F.array_distinct(w)) < F.size(w), F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines"]
