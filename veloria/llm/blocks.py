@@ -234,17 +234,29 @@ def finish(docs: DataFrame, text: str, keep: list[str], answers: DataFrame, prep
 
 def pack_text(table: pa.Table, text: str) -> bytes:
     """A block's texts, to be read by unpack_text."""
+    missing = np.packbits(np.array(pc.is_null(table.column(text)), bool)).tobytes()
     column = pc.fill_null(table.column(text), "").cast(pa.large_string())
-    lengths = np.array(pc.binary_length(column), np.int64)
-    return frame(lengths.tobytes(), pack(b"".join(c.buffers()[2].to_pybytes()[np.frombuffer(c.buffers()[1], np.int64)[c.offset] : np.frombuffer(c.buffers()[1], np.int64)[c.offset + len(c)]] for c in column.chunks if len(c) and c.buffers()[2] is not None), 3))
+    lengths, parts = np.array(pc.binary_length(column), np.int64), []
+    for c in column.chunks:
+        if len(c) and c.buffers()[2] is not None:
+            offsets = np.frombuffer(c.buffers()[1], np.int64)
+            parts.append(memoryview(c.buffers()[2])[offsets[c.offset] : offsets[c.offset + len(c)]])
+    return frame(lengths.tobytes(), pack(b"".join(parts), 3), missing)
 
 
 def unpack_text(data: bytes) -> pa.Array:
-    lengths, raw = unframe(data)
+    """The texts of a block; null ones are empty here."""
+    lengths, raw, _ = unframe(data)
     offsets = np.concatenate([[0], np.cumsum(np.frombuffer(lengths, np.int64))]).astype(np.int64)
     return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(unpack(raw)))
 
 
+def original_text(data: bytes) -> pa.Array:
+    """The texts of a block as they were."""
+    texts, missing = unpack_text(data), unframe(data)[2]
+    return pc.if_else(pa.array(np.unpackbits(np.frombuffer(missing, np.uint8), count=len(texts)).astype(bool)), pa.scalar(None, texts.type), texts)
+
+
 def joined(answers: list[tuple[int, bytes]]) -> list[bytes]:
     return [payload for _, payload in answers]
 

@@ -45,6 +45,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veloria.llm import arrowmap, blocks
 from veloria.llm.textbytes import SPACE, Slice, covered, distinct_spans, hash_spans, mix, ngram_hashes, slices
@@ -311,12 +312,18 @@ def find_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n:
                 kept.append(b" ".join([raw[s:e] for s, e in zip(starts[left].tolist(), ends[left].tolist(), strict=True)]).decode("utf-8"))
             done += len(starts)
         whole = lambda x: pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64())
-        return {"n_words": whole(n_words), "n_removed": whole(n_removed), "spans": pa.array(spans, pa.list_(pa.int64())), "factors": pa.array(factors, pa.list_(pa.int64())), "kept_text": pa.array(kept, pa.string())}
+        again = {text: blocks.original_text(payload)} if text in keep else {}
+        return again | {"n_words": whole(n_words), "n_removed": whole(n_removed), "spans": pa.array(spans, pa.list_(pa.int64())), "factors": pa.array(factors, pa.list_(pa.int64())), "kept_text": pa.array(kept, pa.string())}
 
     anchors = blocks.resolve(blocks.ask(docs, text, [], ask_anchors), answer_anchors)
     passages = blocks.meet(docs, text, [key], anchors, prepare, list_passages, blocks._ASKED)
     found = blocks.resolve(passages, answer_passages)
-    return blocks.finish(docs, text, keep, found, prepare, conclude, arrowmap.schema("n_words long, n_removed long, spans array<long>, factors array<long>, kept_text string"))
+    made = arrowmap.schema("n_words long, n_removed long, spans array<long>, factors array<long>, kept_text string")
+    names = [c for c in keep if c not in made.names]
+    if text in names:  # it comes back from what the parse has read, and is not sent twice
+        made = T.StructType([T.StructField(text, T.StringType()), *made])
+    done = blocks.finish(docs, text, keep, found, prepare, conclude, made)
+    return done.select(*names, *(c for c in done.columns if c not in names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
