@@ -218,3 +218,39 @@ def test_null_gate_and_ablation(panel):
     assert [s["step"] for s in steps] == ["with noise", "with signal", "without tenure"] and steps[1]["marginal_ap"] > 0.1 and steps[2]["features"] == 2
     with pytest.raises(ValueError, match="split"):
         lifecycle.fit(panel.filter("split <> 'valid'"), ["x"])
+
+
+def test_finer_reads(spark, tmp_path):
+    from veloria.operators import detail
+
+    row = spark.range(1).select(detail.stable_json(F.create_map(F.lit("b"), F.lit(1), F.lit("a"), F.lit(2))).alias("j")).head()
+    assert row.j == '{"a":2,"b":1}'
+    left, right = spark.createDataFrame([(1, "x"), (1, "y")], "k long, a string"), spark.createDataFrame([(1, 5), (2, 6)], "k long, n long")
+    assert detail.joined_once(left, right, ["k"]).count() == 2
+    with pytest.raises(ValueError, match="left"):
+        detail.joined_once(left, right, ["k"], "inner", both=True)
+    with pytest.raises(ValueError, match="right"):
+        detail.joined_once(right, left, ["k"])
+    numbers = spark.createDataFrame([(1.0,), (None,)], "x double")
+    assert sorted(r.x for r in detail.finite(numbers, ["x"]).collect()) == [0.0, 1.0]
+    with pytest.raises(Exception, match="not finite"):
+        detail.finite(spark.createDataFrame([(float("inf"),)], "x double"), ["x"]).collect()
+    found = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "file string, sha256 string")
+    expected = spark.createDataFrame([("a", "1"), ("b", "9"), ("d", "4")], "file string, sha256 string")
+    assert {tuple(r) for r in detail.verified(found, expected).collect()} == {("b", "changed"), ("c", "unexpected"), ("d", "missing")}
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "b")], "id long, s string")
+    assert {r.id for r in detail.filled_sample(rows, [], "s", [F.asc("id")], 3).collect()} == {1, 4, 2}
+
+
+def test_readers_and_batches(spark, tmp_path):
+    from veloria.operators import ingest
+    from veloria.sources import tables
+
+    (tmp_path / "x.json").write_text('[{"a": 1}, {"a": 2}]')
+    (tmp_path / "y.jsonl").write_text('{"a": 3}\n')
+    spark.range(2).write.parquet(f"{tmp_path}/z")
+    assert [tables.read_rows(spark, f"{tmp_path}/{n}").count() for n in ("x.json", "y.jsonl", "z")] == [2, 1, 2]
+    parts = [[r.id for r in p.collect()] for p in ingest.in_batches(spark.range(100), 30)]
+    assert len(parts) == 4 and sorted(x for p in parts for x in p) == list(range(100))
+    with pytest.raises(ValueError, match="missing columns: b, c"):
+        ingest.require_columns(spark.range(1), ["id", "c", "b"])

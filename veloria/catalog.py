@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veloria.plans import audit, evaluation, graph, ingest, lifecycle, panel, profile, semantics, serving, text
+from veloria.plans import audit, detail, evaluation, graph, ingest, lifecycle, panel, profile, semantics, serving, text
 
-_MODULES = [ingest, panel, evaluation, graph, serving, text, profile, audit, semantics, lifecycle]
+_MODULES = [ingest, panel, evaluation, graph, serving, text, profile, audit, detail, semantics, lifecycle]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 
 from veloria.functions.columns import draw, ratio
 from veloria.operators.ranking import numbered, running
+from veloria.sources.shared import stored
+
+#: Groups whose values may be broadcast.
+BROADCAST_GROUPS = 1 << 20
 
 
 def by_score(rows: DataFrame, by: list[str], score: str = "score", label: str = "y") -> DataFrame:
@@ -187,12 +191,16 @@ def shuffled_labels(panel: DataFrame, keep_split: str = "test", seed: str = "18"
 def bootstrap(groups: DataFrame, value: str, draws: int, seed: str = "7") -> DataFrame:
     """Percentile interval of the mean over groups drawn with replacement by a hash.
 
-    groups has a gap-free ``i`` from 0; each draw needs only indices and joins.
+    groups has a gap-free ``i`` from 0.  Up to ``BROADCAST_GROUPS`` groups the
+    values are broadcast and only sums of each draw are shuffled.
     """
+    groups = stored(groups.select("i", value))
+    count = groups.count()
+    values = F.broadcast(groups) if count <= BROADCAST_GROUPS else groups
     n = groups.agg(F.count("*").alias("n"))
     slots = groups.select("i").join(F.broadcast(n)).select("n", "i", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
     pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "draw", "i")), 1, 8), 16, 10).cast("long") % F.col("n")
-    means = slots.select("draw", pick.alias("i")).join(groups.select("i", value), "i").groupBy("draw").agg(F.avg(value).alias("v"))
+    means = slots.select("draw", pick.alias("i")).join(values, "i").groupBy("draw").agg(F.avg(value).alias("v"))
     q = F.percentile("v", F.array(F.lit(0.025), F.lit(0.975)))
     return means.agg(F.avg("v").alias("mean"), q.alias("_q")).select("mean", F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"))
 

@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import difflib
-import math
 import re
 import unicodedata
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,10 +74,13 @@ def prior_context(turns: DataFrame) -> DataFrame:
     return turns.select("conv_id", "turn", F.count("*").over(before).alias("n_prior"), F.coalesce(F.sum(F.char_length("text")).over(before), F.lit(0)).alias("prior_chars"))
 
 
+def page_title() -> Column:
+    return F.trim(F.regexp_replace(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
+
+
 def pages_text(pages: DataFrame) -> DataFrame:
     """Title, host and visible length of each page."""
-    title = F.trim(F.regexp_replace(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
-    return pages.select("page_id", title.alias("title"), host(F.col("url")).alias("host"), F.char_length(strip_html(F.col("html"))).cast("long").alias("chars"), F.size(F.regexp_extract_all("html", F.lit(r"(?i)<a\s"), F.lit(0))).cast("long").alias("links"))
+    return pages.select("page_id", page_title().alias("title"), host(F.col("url")).alias("host"), F.char_length(strip_html(F.col("html"))).cast("long").alias("chars"), F.size(F.regexp_extract_all("html", F.lit(r"(?i)<a\s"), F.lit(0))).cast("long").alias("links"))
 
 
 def tokens(text: Column) -> Column:
@@ -161,8 +161,3 @@ def tolerant_json(text: str) -> str | None:
 def leak_audit(masked: DataFrame, text: str, names: str) -> DataFrame:
     """Masked rows in which one of the row's names still stands as a word."""
     return masked.filter(F.exists(F.col(names), lambda n: F.rlike(F.lower(F.col(text)), F.concat(F.lit(r"(^|\W)"), F.lower(n), F.lit(r"(\W|$)")))))
-
-
-def entropy(counts: Iterator[int]) -> float:
-    total = sum(counts := list(counts))
-    return -sum(c / total * math.log(c / total) for c in counts if c) if total else 0.0

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veloria.functions import names as nm
 from veloria.functions import values as v
 from veloria.functions.columns import tidy
 from veloria.functions.dates import month_date
 from veloria.operators import audit as op
 from veloria.operators import linkage as ln
 from veloria.operators import memo as mm
+from veloria.operators import text as tx
 from veloria.plans.evaluation import _FOUND, _found, summary
 from veloria.plans.sqltext import sql
 from veloria.sources.tables import act, contrib, people, table
@@ -124,6 +126,25 @@ def _titles(s, d):
     return ln.titles_linked(three.unionByName(one), table(s, d, "documents"))
 
 
+def _records(s, d):
+    """Records in the JSON of an HTML attribute, under the first such list at any depth."""
+    people_ = F.array(F.struct(F.col("s_name").alias("name"), F.lit("R&D").alias("team")), F.struct(F.concat(F.lit("deputy of "), F.col("s_suppkey").cast("string")).alias("name"), F.lit("<ops>").alias("team")))
+    document = F.to_json(F.struct(F.struct(F.lit(1).alias("id"), F.struct(people_.alias("people")).alias("company")).alias("props")))
+    escaped = document
+    for sign, entity in (("&", "&amp;"), ('"', "&quot;"), ("<", "&lt;"), (">", "&gt;")):
+        escaped = F.replace(escaped, F.lit(sign), F.lit(entity))
+    html = F.concat(F.lit('<html><div id="x" data-page="'), escaped, F.lit('"></div></html>'))
+    found = table(s, d, "supplier").select("s_suppkey", nm.first_list("people")(tx.json_first(html, "data-page")).alias("j"))
+    return found.select("s_suppkey", F.inline(F.from_json("j", "array<struct<name:string,team:string>>")))
+
+
+def _logins(s, d):
+    """Account names in the links of made-up search results."""
+    k = F.col("c_custkey").cast("string")
+    links = F.array(F.concat(F.lit("https://github.com/User"), k, F.lit("/repo")), F.lit("https://github.com/features"), F.concat(F.lit("http://www.github.com/user"), k), F.concat(F.lit("https://example.org/user"), k), F.concat(F.lit("https://github.com/other"), (F.col("c_custkey") % 3).cast("string"), F.lit("?tab=x")))
+    return table(s, d, "customer").select("c_custkey", F.array_join(nm.logins_of(links, "github.com", ["features"]), ",").alias("logins"))
+
+
 _W = r"array_to_string(list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda w: w <> ''), ' ')"
 _NULLS = {"nation": ["n_nationkey", "n_name", "n_regionkey"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"], "documents": ["doc_id", "text", "lang", "source", "n_chars"]}
 _MONTH = "list_position(['" + "', '".join(m.lower() for m in v.MONTH_NAMES) + "'], {})"
@@ -154,6 +175,8 @@ QUERIES = {
     "provenance_edges": _provenance,
     "document_leaves": _leaves,
     "title_grades": _titles,
+    "html_records": _records,
+    "search_logins": _logins,
 }
 
 _REPOS = "SELECT actor, repo, count(*) AS n, bool_or(flag = 'R') AS gone FROM contrib GROUP BY ALL"
@@ -182,5 +205,7 @@ ORACLES = {
     "claim_axis": sql(f"SELECT actor, count(*) AS claims, {_r('1 + 9 * avg(w)')} AS axis, CASE WHEN sum(k) > 0 THEN 'declining' WHEN 2 * count(*) FILTER (WHERE id % 4 = 0) >= count(*) THEN 'improving' ELSE 'stable' END AS trend, {_r('1 + 9 * (0.78::DOUBLE * (actor % 100) / 100.0::DOUBLE + 0.22::DOUBLE * least(count(*) / 40.0::DOUBLE, 1.0::DOUBLE))')} AS founder FROM (SELECT *, (id % 10) / 10.0::DOUBLE * (CASE id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.68 WHEN 2 THEN 0.32 ELSE 0.0 END)::DOUBLE * (1 - least(k * 0.16::DOUBLE, 0.48::DOUBLE)) AS w FROM (SELECT actor, id, CASE WHEN id % 11 = 0 THEN id % 5 ELSE 0 END AS k FROM act)) GROUP BY actor", "act"),
     "provenance_edges": sql("SELECT DISTINCT 'memo:' || actor AS source, 'claim:' || id AS target, 'states' AS kind FROM act UNION SELECT 'claim:' || id, 'activity:' || m, 'cites' FROM act UNION SELECT 'claim:' || id, 'type:' || event_type, 'cites' FROM act", "act"),
     "document_leaves": "SELECT s_suppkey, unnest(['doc.name', 'doc.about.tags[0]', 'doc.about.tags[2]', 'doc.facts.balance']) AS path, unnest([s_name, 'x', s_nationkey::VARCHAR, round(s_acctbal)::BIGINT::VARCHAR]) AS text FROM supplier",
+    "html_records": "SELECT s_suppkey, unnest([s_name, 'deputy of ' || s_suppkey]) AS name, unnest(['R&D', '<ops>']) AS team FROM supplier",
+    "search_logins": "SELECT c_custkey, 'User' || c_custkey || ',other' || (c_custkey % 3) AS logins FROM customer",
     "title_grades": f"WITH t AS (SELECT title_id, {_W.format('title')} AS title FROM (SELECT item_id::VARCHAR AS title_id, array_to_string(string_split_regex(text, '\\s+')[1:3], ' ') AS title FROM benchmark UNION ALL SELECT 'n1', 'the')), d AS (SELECT doc_id, {_W.format('text')} AS body FROM documents) SELECT title_id, doc_id, CASE WHEN body = title THEN 'exact' WHEN starts_with(body || ' ', title || ' ') THEN 'start' ELSE 'inside' END AS grade FROM t JOIN d ON contains(' ' || body || ' ', ' ' || title || ' ') WHERE title <> ''",
 }

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from veloria.functions.columns import tidy
+from veloria.functions.columns import ENTITIES, host, strip_html, tidy
 from veloria.operators import evaluation as ev
 from veloria.operators import linkage as ln
 from veloria.operators import models as ml
@@ -21,7 +21,8 @@ from veloria.streaming import counts as st
 def _searchable(s, d):
     docs = table(s, d, "documents").select(F.lit("document").alias("kind"), "doc_id", F.col("source").alias("title"), F.col("text").alias("body"))
     bench = table(s, d, "benchmark").select(F.lit("benchmark").alias("kind"), F.col("item_id").alias("doc_id"), F.lit("item").alias("title"), F.col("text").alias("body"))
-    pages = op.pages_text(table(s, d, "pages")).select(F.lit("page").alias("kind"), F.col("page_id").alias("doc_id"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("host", F.lit("")).alias("body"))
+    page = table(s, d, "pages")
+    pages = page.select(F.lit("page").alias("kind"), F.col("page_id").alias("doc_id"), F.coalesce(op.page_title(), F.lit("")).alias("title"), F.concat_ws(" ", host(F.col("url")), strip_html(F.col("html"))).alias("body"))
     return docs.unionByName(bench).unionByName(pages)
 
 
@@ -87,6 +88,10 @@ df AS (SELECT q, count(*) AS df FROM hits GROUP BY q)
 SELECT kind, doc_id, {_r('score')} AS score FROM (SELECT kind, doc_id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean))) AS score FROM hits JOIN df USING (q) JOIN sized USING (kind, doc_id), tot WHERE kind <> 'person' GROUP BY ALL HAVING count(*) = 2) ORDER BY round(score, 6) DESC, kind, doc_id LIMIT 50"""
 _TITLE = r"trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g'))"
 _HOST = r"CASE WHEN contains(regexp_replace(lower(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?([^/:?#\s\[\]]+)', 1)), '^www\.', ''), '.') THEN regexp_replace(lower(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?([^/:?#\s\[\]]+)', 1)), '^www\.', '') END"
+_VISIBLE = "regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g')"
+for _entity, _sign in ENTITIES:
+    _VISIBLE = f"replace({_VISIBLE}, '{_entity}', '{_sign.replace(chr(39), chr(39) * 2)}')"
+_VISIBLE = f"trim(regexp_replace({_VISIBLE}, '\\s+', ' ', 'g'))"
 
 QUERIES = {
     "text_topn_quarter": lambda s, d: op.top_items(table(s, d, "documents").select("source", "doc_id", "text"), ["source"], [F.desc("doc_id")], 40, 100),
@@ -96,7 +101,7 @@ QUERIES = {
     "mask_text": lambda s, d: op.leak_audit(_masked(s, d), "masked", "names").agg(F.count("*").alias("leaks")),
     "entity_resolution": lambda s, d: tidy(op.entity_candidates(table(s, d, "customer"))),
     "title_linkage": _titles,
-    "html_extract": lambda s, d: op.pages_text(table(s, d, "pages")).select("page_id", "title", "host", "links"),
+    "html_extract": lambda s, d: op.pages_text(table(s, d, "pages")).select("page_id", "title", "host", "links", "chars"),
     "search_bm25": lambda s, d: tidy(op.search(_searchable(s, d), "the rest")),
     "search_typed": _typed,
     "logistic_scores": _model("logistic"),
@@ -112,8 +117,8 @@ ORACLES = {
     "digest": "SELECT conv_id, count(*) AS turns, sha256(string_agg(role || ': ' || substr(text, 1, 200), chr(10) ORDER BY turn, role || ': ' || substr(text, 1, 200))) AS digest FROM conversations GROUP BY conv_id",
     "prior_context": "SELECT conv_id, turn, count(*) OVER w AS n_prior, coalesce(sum(length(text)) OVER w, 0)::BIGINT AS prior_chars FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
     "title_linkage": f"WITH t AS (SELECT item_id AS title_id, {_LINE.format('text')} AS title FROM benchmark), d AS (SELECT doc_id, {_LINE.format('text')} AS body FROM documents) SELECT title_id, doc_id, CASE WHEN body = title THEN 'exact' WHEN starts_with(body || ' ', title || ' ') THEN 'start' ELSE 'inside' END AS grade FROM t JOIN d ON contains(' ' || body || ' ', ' ' || title || ' ') WHERE title <> ''",
-    "html_extract": f"SELECT page_id, {_TITLE} AS title, {_HOST} AS host, len(regexp_extract_all(html, '(?i)<a\\s'))::BIGINT AS links FROM pages",
-    "search_bm25": _SEARCH.replace("{title}", f"coalesce({_TITLE}, '')").replace("{host}", f"coalesce({_HOST}, '')"),
+    "html_extract": f"SELECT page_id, {_TITLE} AS title, {_HOST} AS host, len(regexp_extract_all(html, '(?i)<a\\s'))::BIGINT AS links, length({_VISIBLE})::BIGINT AS chars FROM pages",
+    "search_bm25": _SEARCH.replace("{title}", f"coalesce({_TITLE}, '')").replace("{host}", f"coalesce({_HOST} || ' ', '') || {_VISIBLE}"),
     "search_typed": _TYPED,
     "tumbling_counts_stream": f"SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, {_r('sum(value)', 4)} AS total FROM events GROUP BY ALL",
     "session_counts_stream": "WITH x AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 12 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), y AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM x) SELECT min(ts)::TIMESTAMP AS start, user_id, count(*) AS n FROM y GROUP BY user_id, s",
