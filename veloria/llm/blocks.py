@@ -289,3 +289,17 @@ def stored(df: DataFrame) -> DataFrame:
 def steady(df: DataFrame) -> DataFrame:
     """df, stored if its rows come out of a shuffle, whose order may change when it runs again."""
     return stored(df) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
+def dealt(asked: DataFrame, buckets: int) -> DataFrame:
+    """What blocks ask, dealt by bucket and stored, so that several passes over the buckets share one shuffle.
+
+    A stored table keeps its partitioning only if its plan is not adaptive.
+    """
+    conf = asked.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return stored(asked.repartition(buckets, "bucket"))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)

@@ -48,8 +48,6 @@ STEPS = 9
 DEPTH = 6
 #: Code lengths travel as whole multiples of 1/SCALE digits.
 SCALE = 1 << 18
-#: Places of the table in which one round of ``_pairs`` finds distinct keys.
-_TABLE = 1 << 24
 _U = np.uint64
 #: The hash that stands for the end among words.
 _END_WORD = _U(0)
@@ -79,27 +77,21 @@ def _pairs(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.
     at = np.flatnonzero(symbols != PAD).astype(np.int32)
     if not len(at):
         return np.zeros(0, _U), at, np.zeros(0, np.int64)
-    alphabet = np.flatnonzero(np.bincount(symbols, minlength=258))
-    dense = np.zeros(258, np.int16)
-    dense[alphabet] = np.arange(len(alphabet))
-    s, size = dense[symbols], len(alphabet)
-    rank, codes = np.zeros(len(at), np.int32), np.zeros(1, _U)
-    for back in (*range(1, depth + 1), 0):
-        last, step, done, new = s[at - back], max(1, _TABLE // size), 0, []
-        following = np.empty(len(at), np.int32)
-        for low in range(0, len(codes), step):  # ranges of contexts, each by a table
-            own = np.flatnonzero((rank >= low) & (rank < low + step)) if len(codes) > step else slice(None)
-            key = (rank[own] - np.int32(low)) * np.int32(size) + last[own]
-            seen = np.zeros(min(step, len(codes) - low) * size, bool)
-            seen[key] = True
-            distinct = np.flatnonzero(seen)
-            place = np.empty(len(seen), np.int32)
-            place[distinct] = np.arange(done, done + len(distinct), dtype=np.int32)
-            following[own] = place[key]
-            done += len(distinct)
-            new.append((codes[low + distinct // size] << _U(9)) | alphabet[distinct % size].astype(_U))
-        rank, codes = following, np.concatenate(new)
-    return codes, at, rank
+    n = len(symbols)
+    code = symbols[depth - 1 : n - 1].astype(_U)
+    for back in (*range(2, depth + 1), 0):
+        code <<= _U(9)
+        code |= symbols[depth - back : n - back].astype(_U)
+    found = pa.array(code).dictionary_encode()  # a hash table, in the order of appearance
+    del code
+    codes, rank = found.dictionary.to_numpy(), found.indices.to_numpy()
+    del found
+    order = np.argsort(codes)
+    codes = codes[order]
+    real = (codes & _U(511)) != _U(PAD)  # pads are context only
+    place = np.empty(len(codes), np.int32)
+    place[order] = np.cumsum(real, dtype=np.int32) - 1
+    return codes[real], at, place[rank[at - depth]]
 
 
 def _bucket_of(codes: np.ndarray, depth: int, buckets: int) -> np.ndarray:
@@ -138,9 +130,20 @@ def lgamma_one(n: np.ndarray) -> np.ndarray:
     return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - shift
 
 
+_FEW = np.arange(4096.0)
+_FEW_HALF, _FEW_ONE = lgamma_half(_FEW), lgamma_one(_FEW)
+
+
+def _looked_up(few: np.ndarray, f, n: np.ndarray) -> np.ndarray:
+    """f of whole n, small ones from a table."""
+    out, many = few[np.minimum(n, len(few) - 1).astype(np.int64)], np.flatnonzero(n >= len(few))
+    out[many] = f(n[many])
+    return out
+
+
 def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Log probability that the KT estimator gives to a zeros and b ones."""
-    return lgamma_half(a) + lgamma_half(b) - lgamma_one(a + b)
+    return _looked_up(_FEW_HALF, lgamma_half, a) + _looked_up(_FEW_HALF, lgamma_half, b) - _looked_up(_FEW_ONE, lgamma_one, a + b)
 
 
 def _steps(symbol: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -177,17 +180,25 @@ def _up(keys: np.ndarray) -> np.ndarray:
     return ((keys >> _U(19)) << _U(10)) | (keys & _U(1023))
 
 
+def _groups(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+
+
 def leaves(codes: np.ndarray, counts: np.ndarray) -> Level:
-    """The deepest level, from trained codes and counts."""
+    """The deepest level, from trained codes, in order, and their counts."""
     context, symbol = (codes >> _U(9)) << _U(10), (codes & _U(511)).astype(np.int64)
-    keys, bits, weights = [], [], []
-    for node, bit, taken in _steps(symbol):
-        keys.append((context | node.astype(_U))[taken])
-        bits.append(bit[taken])
-        weights.append(counts[taken])
-    keys, bits, weights = np.concatenate(keys), np.concatenate(bits), np.concatenate(weights)
-    distinct, place = np.unique(keys, return_inverse=True)
-    return Level(distinct, np.bincount(place, weights * (1 - bits), len(distinct)), np.bincount(place, weights * bits, len(distinct)), None)
+    keys, zeros, ones = [np.zeros(0, _U)], [np.zeros(0)], [np.zeros(0)]
+    for node, bit, taken in _steps(symbol):  # a step's nodes are in order, as the codes are
+        own, n = (context | node.astype(_U))[taken], counts[taken].astype(np.float64)
+        if len(own):
+            begin = _groups(own)
+            keys.append(own[begin])
+            ones.append(np.add.reduceat(n * bit[taken], begin))
+            zeros.append(np.add.reduceat(n, begin) - ones[-1])
+    keys = np.concatenate(keys)
+    order = np.argsort(keys, kind="stable")
+    return Level(keys[order], np.concatenate(zeros)[order], np.concatenate(ones)[order], None)
 
 
 def shorter(level: Level) -> Level:
@@ -196,22 +207,39 @@ def shorter(level: Level) -> Level:
     return Level(keys, np.bincount(place, level.a, n), np.bincount(place, level.b, n), np.bincount(place, level.evidence, n))
 
 
+def _mixed(levels: list[Level]) -> list[np.ndarray]:
+    """For each node, the probability of a one after a context whose deepest trained node it is.
+
+    Down the path every depth takes its weight of what those above have left,
+    and the deepest node takes the rest.
+    """
+    out, taken, left = [], np.zeros(1), np.ones(1)
+    for d, level in enumerate(levels):
+        up = np.searchsorted(levels[d - 1].keys, _up(level.keys)) if d else np.zeros(len(level.keys), np.int64)
+        own, rest, kt = (taken[up], left[up], (level.b + 0.5) / (level.a + level.b + 1)) if len(level.keys) else (np.zeros(0),) * 3
+        out.append(own + rest * kt)
+        taken, left = own + rest * level.weight * kt, rest * (1 - level.weight)
+    return out
+
+
 def log10_probability(codes: np.ndarray, levels: list[Level], depth: int) -> np.ndarray:
-    """log10 of each code's symbol given its context; levels by depth, the root first."""
-    total = np.zeros(len(codes))
+    """log10 of the symbol given its context for each code, in order; levels by depth, the root first."""
+    total, mixed = np.zeros(len(codes)), _mixed(levels)
     context, symbol = codes >> _U(9), (codes & _U(511)).astype(np.int64)
     for node, bit, taken in _steps(symbol):
-        p, below = np.full(len(codes), 0.5), np.zeros(len(codes), bool)
-        for d in range(depth, -1, -1):
-            level = levels[d]
-            slot, there = level.find(((context >> _U(9 * (depth - d))) << _U(10)) | node.astype(_U))
-            if len(level.keys):
-                a, b = level.a[slot], level.b[slot]
-                kt = (np.where(bit == 1, b, a) + 0.5) / (a + b + 1)
-                mixed = np.where(below, level.weight[slot] * kt + (1 - level.weight[slot]) * p, kt)
-                p = np.where(there, mixed, p)
-                below |= there
-        total += np.where(taken, np.log10(p), 0.0)
+        key = (context << _U(10)) | node.astype(_U)
+        begin = _groups(key)
+        own, one = key[begin], np.full(len(begin), 0.5)
+        todo = np.arange(len(begin))
+        for d in range(depth, -1, -1):  # the deepest trained node on the path
+            k = own[todo]
+            slot, there = levels[d].find(((k >> _U(10 + 9 * (depth - d))) << _U(10)) | (k & _U(1023)))
+            one[todo[there]] = mixed[d][slot[there]]
+            todo = todo[~there]
+            if not len(todo):
+                break
+        one = np.repeat(one, np.diff(np.append(begin, len(key))))
+        total += np.where(taken, np.log10(np.where(bit == 1, one, 1 - one)), 0.0)
     return total
 
 
@@ -335,7 +363,7 @@ def score(docs: DataFrame, training, *, text: str = "text", depth: int = DEPTH,
         }
 
     asked = blocks.ask(docs, text, [flag], extract)
-    asked = blocks.stored(asked)
+    asked = blocks.dealt(asked, buckets)
     nodes = asked.groupBy("bucket").applyInArrow(summarise, "node long, a double, b double, e double").groupBy("node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("e").alias("e"))
     rows = nodes.toPandas().sort_values("node")  # bounded: 257 x 257 contexts, 257 nodes each
     spare = rows[rows.node < 0]
