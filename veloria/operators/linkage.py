@@ -29,7 +29,7 @@ def preferred(rows: DataFrame, labels: DataFrame, key: str, same: list[str], ord
 def domain_leaks(repos: DataFrame, people: DataFrame) -> DataFrame:
     """The first repository of each actor whose name shows one of the actor's company domains.
 
-    repos: actor, repo, ordinal; people: actor, domains (array).  A name shows a
+    repos: actor, repo, ordinal (equal ones go by name); people: actor, domains (array).  A name shows a
     domain if it holds it, or if one of its parts is the domain or its stem.
     """
     x = repos.join(people.select("actor", F.posexplode("domains").alias("nth", "domain")), "actor")
@@ -38,7 +38,7 @@ def domain_leaks(repos: DataFrame, people: DataFrame) -> DataFrame:
     parts = F.filter(F.split(name, "[/._-]+"), lambda p: p != "")
     tokens = F.when(bare != "", F.array(bare, F.split_part(bare, F.lit("."), F.lit(1)))).otherwise(F.array().cast("array<string>"))
     shown = x.filter(name.contains(domain) | F.arrays_overlap(parts, tokens))
-    return shown.groupBy("actor").agg(F.min_by(F.struct("repo", "domain"), F.struct("ordinal", "nth")).alias("x")).select("actor", "x.repo", "x.domain", F.lit("company_website_domain_in_pre_cutoff_repo_name").alias("reason"))
+    return shown.groupBy("actor").agg(F.min_by(F.struct("repo", "domain"), F.struct("ordinal", "nth", "repo")).alias("x")).select("actor", "x.repo", "x.domain", F.lit("company_website_domain_in_pre_cutoff_repo_name").alias("reason"))
 
 
 def graded(rows: DataFrame, rules: list[tuple[str, Column]], otherwise: str) -> DataFrame:

@@ -197,7 +197,7 @@ ORACLES = {
     "names_for_people": sql("SELECT id, line, CASE WHEN line % 2 = 1 THEN 'owner' || owner END AS owner, 'Activity ' || upper(status) || ' Last ' || (line * 3) || ' Months' AS label FROM contrib", "contrib"),
     "wire_transport": "SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents",
     "preferred_label": "SELECT actor, company, l_company, l_id FROM (SELECT c_custkey AS actor, (c_custkey % 5 + 1)::VARCHAR AS company, substr(o_orderpriority, 1, 1) AS l_company, o_orderkey AS l_id, row_number() OVER (PARTITION BY c_custkey ORDER BY (c_custkey % 5 + 1)::VARCHAR = substr(o_orderpriority, 1, 1) DESC, substr(o_orderpriority, 1, 1), o_orderkey) AS k FROM customer JOIN orders ON o_custkey = c_custkey) WHERE k = 1",
-    "domain_leaks": sql("SELECT actor, repo, domain, 'company_website_domain_in_pre_cutoff_repo_name' AS reason FROM (SELECT *, row_number() OVER (PARTITION BY actor ORDER BY ordinal, nth) AS k FROM (SELECT c.actor, 'Acme' || (owner % 50) || CASE WHEN line = 1 THEN '.io' ELSE '-tools' END || '/part' || repo AS repo, id * 10 + line AS ordinal, nth, domain FROM contrib c JOIN (SELECT actor, unnest([0, 1]) AS nth, unnest(['corp' || actor || '.com', 'acme' || (actor % 50) || '.io']) AS domain FROM people) p ON p.actor = c.actor) WHERE contains(lower(repo), domain) OR list_has_any(list_filter(string_split_regex(lower(repo), '[/._-]+'), lambda x: x <> ''), [domain, split_part(domain, '.', 1)])) WHERE k = 1", "contrib", "people"),
+    "domain_leaks": sql("SELECT actor, repo, domain, 'company_website_domain_in_pre_cutoff_repo_name' AS reason FROM (SELECT *, row_number() OVER (PARTITION BY actor ORDER BY ordinal, nth, repo) AS k FROM (SELECT c.actor, 'Acme' || (owner % 50) || CASE WHEN line = 1 THEN '.io' ELSE '-tools' END || '/part' || repo AS repo, id * 10 + line AS ordinal, nth, domain FROM contrib c JOIN (SELECT actor, unnest([0, 1]) AS nth, unnest(['corp' || actor || '.com', 'acme' || (actor % 50) || '.io']) AS domain FROM people) p ON p.actor = c.actor) WHERE contains(lower(repo), domain) OR list_has_any(list_filter(string_split_regex(lower(repo), '[/._-]+'), lambda x: x <> ''), [domain, split_part(domain, '.', 1)])) WHERE k = 1", "contrib", "people"),
     "graded_evidence": "SELECT CASE WHEN c_acctbal > 8000 THEN 'strong balance' WHEN c_mktsegment = 'BUILDING' AND c_acctbal > 0 THEN 'strong segment' WHEN c_custkey % 97 = 0 THEN 'medium rare' ELSE 'unconfirmed' END AS grade, count(*) AS n FROM customer GROUP BY 1",
     "founder_snapshot": "SELECT c_custkey AS person, c_name, CASE WHEN c_custkey % 2 = 0 THEN 'u' || c_custkey END AS login, CASE WHEN c_custkey % 4 = 0 THEN 'profile' WHEN c_custkey % 2 = 0 THEN 'search' END AS method FROM customer",
     "pilot_strata": sql(f"SELECT s.actor, s.grp, {_r('s.peak')} AS peak, CASE WHEN s.actor % 8 = 0 THEN 'rising' WHEN s.actor % 4 = 0 THEN 'flat' ELSE 'new' END AS stratum FROM summary s", "scored", summary="SELECT actor, any_value(grp) AS grp, max(score) AS peak FROM scored GROUP BY actor"),

@@ -152,7 +152,7 @@ _ALL = {"summary": _SUMMARY}
 ORACLES = {
     "as_of_context": sql(
         f"""SELECT a.actor, a.m, count(c.id) AS n, {', '.join(f"count(c.id) FILTER (WHERE c.flag = '{t}') AS {x}" for x, t in FLAGS.items())}, count(DISTINCT c.repo) AS repos, {_r('coalesce(avg(c.is_own::INT), 0)')} AS own_share, {_r('ln(1 + count(c.id))')} AS log_n, coalesce(a.m - min(c.m), 0) AS tenure, coalesce(a.m - max(c.m), 99) AS recency,
-array_to_string(list_resize(coalesce(list(c.repo ORDER BY c.ts DESC, c.id DESC, c.line DESC) FILTER (WHERE c.id IS NOT NULL), []), 5, -1), ',') AS last_repos
+array_to_string(list_resize(coalesce(list(c.repo ORDER BY c.ts DESC, c.id DESC, c.line DESC, c.repo DESC) FILTER (WHERE c.id IS NOT NULL), []), 5, -1), ',') AS last_repos
 FROM (SELECT actor, b, b - k AS m FROM people, (SELECT unnest([12, 18, 24]) AS k)) a LEFT JOIN contrib c ON c.actor = a.actor AND c.m < a.m AND c.m >= a.b - 62 GROUP BY a.actor, a.m""",
         "contrib", "people",
     ),
