@@ -60,6 +60,24 @@ def on_spine(people: DataFrame, monthly: DataFrame) -> DataFrame:
     return spine(people).join(monthly, ["actor", "m"], "left").fillna(0, values)
 
 
+def histories(people: DataFrame, monthly: DataFrame, value: str) -> DataFrame:
+    """Every person with ``history``, the value of each month from B-62 to B-12 (absent ones zero), and ``copies``, how often the person is listed.
+
+    Spark takes an exploded spine for as small as people and may broadcast it;
+    here only people and their months are joined, and the spine is made of the
+    result, which is dealt by person already.
+    """
+    months = monthly.filter("m is not null").groupBy("actor").agg(F.map_from_entries(F.collect_list(F.struct("m", value))).alias("_months"))
+    rows = people.select("actor", "grp", "positive", "b").join(months, "actor", "left")
+    each = F.transform(F.sequence(F.col("b") - WARM, F.col("b") - LAST), lambda m: F.coalesce(F.try_element_at("_months", m), F.lit(0).cast("long")))
+    return rows.select("actor", "grp", "positive", "b", each.alias("history"), F.count("*").over(Window.partitionBy("actor")).alias("copies"))
+
+
+def history_sum(months: int) -> Column:
+    """The trailing sum at month ``m`` of a row that has ``history`` and ``copies``; as a window over the copies' rows gives it."""
+    return F.col("copies") * sum((F.coalesce(F.get("history", (F.col("m") - F.col("b") + WARM - k).cast("int")), F.lit(0)) for k in range(1, months)), F.get("history", (F.col("m") - F.col("b") + WARM).cast("int")))
+
+
 def trailing(c: str, months: int) -> Column:
     return F.sum(c).over(over(-(months - 1), 0))
 

@@ -14,12 +14,16 @@ from veloria.sources.tables import act, people, table
 
 def scored(s, d):
     """A transparent score of each person-month from its trailing counts."""
-    p = people(s, d)
-    dense = pn.on_spine(p, pn.monthly_counts(act(s, d), p).select("actor", "m", "n"))
-    begun = F.min(F.when(F.col("n") > 0, F.col("m"))).over(pn.ever())
-    dense = dense.select("actor", "m", pn.trailing("n", 3).alias("n3"), pn.trailing("n", 12).alias("n12"), F.coalesce(F.col("m") - begun + 1, F.lit(0)).alias("tenure"))
+    p = people(s, d).filter("actor is not null")
+    known = pn.histories(p, pn.monthly_counts(act(s, d), p), "n")
+    active = F.filter(F.sequence(F.lit(0), F.size("history") - 1), lambda k: F.get("history", k) > 0)
+    known = known.withColumn("_begun", F.col("b") - pn.WARM + F.array_min(active))
+    # A person listed twice has each month's row once for each pair of listings, as a join of the panel with the counts has it.
+    rows = known.select("*", F.explode(F.flatten(F.array_repeat(F.sequence(F.col("b") - pn.FIRST, F.col("b") - pn.LAST), F.col("copies").cast("int")))).alias("m"))
+    tenure = F.when(F.col("_begun") <= F.col("m"), F.col("m") - F.col("_begun") + 1).otherwise(F.lit(0).cast("long"))
+    dense = rows.select("actor", "m", "grp", "positive", "b", *pn.label_columns(), pn.history_sum(3).alias("n3"), pn.history_sum(12).alias("n12"), tenure.alias("tenure"))
     raw = 2 * F.col("n3") + F.col("n12") + F.col("actor") % 3
-    return pn.labelled(pn.spine(p)).join(dense, ["actor", "m"]).withColumn("score", F.round(F.lit(0.02) + F.lit(0.9) * raw / (raw + 10), 4)).withColumn("recent", 2 * F.col("n3")).withColumn("year", F.col("n12"))
+    return dense.withColumn("score", F.round(F.lit(0.02) + F.lit(0.9) * raw / (raw + 10), 4)).withColumn("recent", 2 * F.col("n3")).withColumn("year", F.col("n12"))
 
 
 def summary(s, d):
