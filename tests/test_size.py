@@ -7,7 +7,7 @@ from veloria import catalog
 from veloria.plans.evaluation import scored
 
 SF = "/root/testdata/sf0.001"
-SCORED = "scored_panel exclusion_variants alpha_grid matched_group_rank calibration".split()
+SCORED = "scored_panel exclusion_variants alpha_grid matched_group_rank calibration null_shuffle".split()
 
 
 def _below(node):

@@ -181,11 +181,14 @@ def top_permuted(rows: DataFrame, k: int) -> DataFrame:
 
 
 def shuffled_labels(panel: DataFrame, keep_split: str = "test", seed: str = "18") -> DataFrame:
-    """Labels permuted within month by a hash order; the held-out split keeps its own."""
+    """Labels permuted within month by a hash order; the held-out split keeps its own.
+
+    Both sides hold the whole panel, whatever Spark takes an exploded spine for, so they meet by a merge and not by broadcast.
+    """
     free = panel.filter(F.col("split") != keep_split)
     natural = free.select("m", "y", F.row_number().over(Window.partitionBy("m").orderBy("actor")).alias("r"))
     hashed = free.select("actor", "m", "split", F.row_number().over(Window.partitionBy("m").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "actor", "m")), "actor")).alias("r"))
-    return hashed.join(natural, ["m", "r"]).select("actor", "m", "split", "y").unionByName(panel.filter(F.col("split") == keep_split).select("actor", "m", "split", "y"))
+    return hashed.join(natural.hint("merge"), ["m", "r"]).select("actor", "m", "split", "y").unionByName(panel.filter(F.col("split") == keep_split).select("actor", "m", "split", "y"))
 
 
 def bootstrap(groups: DataFrame, value: str, draws: int, seed: str = "7") -> DataFrame:
