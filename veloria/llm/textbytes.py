@@ -108,8 +108,29 @@ def distinct_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
     """Sorted keys of the distinct byte strings, each one's first span, and each span's key.
 
     Spans share a key if and only if their bytes are equal: keys are hashes,
-    and spans that differ from the first of their hash get another.
+    and spans that differ from the first of their hash get another.  Many
+    spans are first reduced to the distinct ones of each ``_SPANS``, so that
+    what is sorted at once does not grow with the block.
     """
+    if len(starts) > _SPANS:
+        firsts, places, done = [], [], 0
+        for k in range(0, len(starts), _SPANS):
+            a, b = starts[k : k + _SPANS], ends[k : k + _SPANS]
+            low = a.min()
+            _, first, place = _distinct(buf[low : b.max()], a - low, b - low)
+            firsts.append(first + k)
+            places.append((place + done).astype(np.uint32))
+            done += len(first)
+        reps = np.concatenate(firsts)
+        keys, first, place = _distinct(buf, starts[reps], ends[reps])
+        out = np.empty(len(starts), np.intp)
+        for k, own in enumerate(places):
+            out[k * _SPANS : (k + 1) * _SPANS] = place[own]
+        return keys, reps[first], out
+    return _distinct(buf, starts, ends)
+
+
+def _distinct(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     hashes = hash_spans(buf, starts, ends)
     while True:
         keys, first, place = np.unique(hashes, return_index=True, return_inverse=True)
