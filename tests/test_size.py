@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veloria import catalog
+from veloria.operators import evaluation
 from veloria.plans.evaluation import scored
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +51,11 @@ def test_scored_meets_each_listing_of_a_person(spark, tmp_path):
     for r in got:
         times, want = (4 if r.actor % 2 == 0 else 1), one[r.actor, r.m]
         assert (r.n3, r.n12, r.tenure, r.y) == (times * want.n3, times * want.n12, want.tenure, want.y)
+
+
+def test_variants_read_the_panel_once(spark):
+    rows = spark.createDataFrame([(1, 0.9, 1), (2, 0.4, 0), (3, 0.6, 0), (4, 0.5, 1)], "actor long, score double, y long")
+    out = evaluation.variants(rows, {"all": F.lit(False), "odd": F.col("actor") % 2 == 0, "none": F.lit(True), "unknown": F.lit(None).cast("boolean")})
+    assert {r.variant: r.auc for r in out.collect()} == {"all": 0.75, "odd": 1.0, "none": None, "unknown": None}
+    plan = lambda name: catalog.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("Relation [c_custkey")
+    assert plan("exclusion_variants") <= plan("within_month_ap")

@@ -255,8 +255,11 @@ def frozen_clock(events: DataFrame, people: DataFrame, vintage: int, horizon: in
 
 
 def variants(scored: DataFrame, excluded: dict[str, Column]) -> DataFrame:
-    """AUC with each exclusion applied."""
-    return reduce(DataFrame.unionByName, [roc_auc(scored.filter(~c)).select(F.lit(name).alias("variant"), "auc") for name, c in excluded.items()])
+    """AUC with each exclusion applied, all in one pass; null for a variant without rows."""
+    kept = F.array_compact(F.array(*(F.when(~c, F.lit(name)) for name, c in excluded.items())))
+    found = roc_auc(scored.select(F.explode(kept).alias("variant"), "score", "y"), ["variant"])
+    names = scored.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, excluded))).alias("variant"))
+    return names.join(found, "variant", "left")
 
 
 def crossing_changes(scored: DataFrame, found: DataFrame, features: list[str], top: int = 3) -> DataFrame:

@@ -65,10 +65,12 @@ def histories(people: DataFrame, monthly: DataFrame, value: str) -> DataFrame:
 
     Spark takes an exploded spine for as small as people and may broadcast it;
     here only people and their months are joined, and the spine is made of the
-    result, which is dealt by person already.
+    result, which is dealt by person already.  The number of tasks is given,
+    since adaptive execution would fit it to the rows before the explode.
     """
+    tasks = int(people.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     months = monthly.filter("m is not null").groupBy("actor").agg(F.map_from_entries(F.collect_list(F.struct("m", value))).alias("_months"))
-    rows = people.select("actor", "grp", "positive", "b").join(months, "actor", "left")
+    rows = people.select("actor", "grp", "positive", "b").repartition(tasks, "actor").join(months, "actor", "left")
     each = F.transform(F.sequence(F.col("b") - WARM, F.col("b") - LAST), lambda m: F.coalesce(F.try_element_at("_months", m), F.lit(0).cast("long")))
     return rows.select("actor", "grp", "positive", "b", each.alias("history"), F.count("*").over(Window.partitionBy("actor")).alias("copies"))
 
