@@ -1,6 +1,9 @@
 """Distinct spans of large blocks: the same answer in bounded memory."""
 
+import subprocess
+import sys
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -39,3 +42,10 @@ def test_distinct_spans_sort_a_part_at_a_time():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 40 * len(own)
+
+
+def test_classes_of_code_points_need_little_memory():
+    script = "import resource; from veloria.llm import bpe; peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; a = peak(); t = bpe.classes(); print(peak() - a, *t[[0x41, 0x39, 0x2167, 0xD800, 0x10FFFF, 0x20000, 0x2003]])"
+    found = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2]).stdout.split()
+    assert int(found[0]) < 40_000  # KB
+    assert found[1:] == ["1", "2", "2", "0", "0", "1", "3"]
