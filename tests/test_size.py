@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from veloria import catalog
 from veloria.operators import evaluation
 from veloria.plans.evaluation import scored
+from veloria.plans.text import _panel
 
 SF = "/root/testdata/sf0.001"
 SCORED = "scored_panel exclusion_variants alpha_grid matched_group_rank calibration null_shuffle".split()
@@ -59,3 +60,19 @@ def test_variants_read_the_panel_once(spark):
     assert {r.variant: r.auc for r in out.collect()} == {"all": 0.75, "odd": 1.0, "none": None, "unknown": None}
     plan = lambda name: catalog.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("Relation [c_custkey")
     assert plan("exclusion_variants") <= plan("within_month_ap")
+
+
+def _scans(node):
+    """Whether rows of a table leave a node without having been aggregated."""
+    name = node.nodeName()
+    return name.startswith("Scan") or "Aggregate" not in name and any(map(_scans, _below(node)))
+
+
+def _broadcast_tables(node):
+    return (node.nodeName() == "BroadcastExchange" and _scans(node)) + sum(map(_broadcast_tables, _below(node)))
+
+
+@pytest.mark.parametrize("name", "scored_panel logistic_rows matched_group_rank scrubbed_momentum pilot_strata score_percentiles thesis_rerank trajectory_trend hybrid_score".split())
+def test_no_people_are_broadcast(spark, name):
+    df = _panel(spark, SF) if name == "logistic_rows" else catalog.queries()[name](spark, SF)
+    assert _broadcast_tables(df._jdf.queryExecution().executedPlan()) == 0

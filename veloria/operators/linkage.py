@@ -72,8 +72,8 @@ def titles_linked(titles: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def strata(people: DataFrame, peaks: DataFrame, pilot: DataFrame) -> DataFrame:
-    """People with a peak, and their pilot stratum if they were in it."""
-    return people.join(peaks, "actor").join(pilot, "actor", "left").withColumn("stratum", F.coalesce("stratum", F.lit("new")))
+    """People with a peak, and their pilot stratum if they were in it; all three grow with the people and none is broadcast."""
+    return people.join(peaks.hint("merge"), "actor").join(pilot.hint("merge"), "actor", "left").withColumn("stratum", F.coalesce("stratum", F.lit("new")))
 
 
 def companies(payload: Column) -> Column:

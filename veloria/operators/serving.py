@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veloria.functions.columns import ratio
 from veloria.operators.ranking import numbered
+from veloria.sources.shared import stored
 
 
 def evidence_rollup(events: DataFrame) -> DataFrame:
@@ -46,9 +47,12 @@ def evidence(rows: DataFrame, *, actor: int | None = None, kind: str | None = No
 
 
 def rerank(rows: DataFrame, fit: Column, weights: tuple[float, float, float] = (0.7, 0.2, 0.1)) -> DataFrame:
-    """Score, momentum and fit mixed; the rank before, after, and the difference."""
+    """Score, momentum and fit mixed; the rank before, after, and the difference.
+
+    Each ranking reads its rows several times, and the second reads the first: they are computed once and stored.
+    """
     adjusted = F.col("peak") * weights[0] + F.greatest(F.lit(0.0), 4 * F.coalesce("momentum", F.lit(0.0))) * weights[1] + fit.cast("double") * weights[2]
-    x = rows.select("actor", "peak", F.round(adjusted, 6).alias("adjusted"))
+    x = stored(rows.select("actor", "peak", F.round(adjusted, 6).alias("adjusted")))
     both = numbered(numbered(x, "peak", [F.asc("actor")], "old").drop("_all"), "adjusted", [F.asc("actor")], "new")
     return both.select("actor", "adjusted", F.col("old").cast("long").alias("rank_before"), F.col("new").cast("long").alias("rank"), (F.col("old") - F.col("new")).cast("long").alias("rank_delta"))
 

@@ -13,8 +13,11 @@ from veloria.sources.tables import act, people, table
 
 
 def scored(s, d):
-    """A transparent score of each person-month from its trailing counts."""
-    p = people(s, d).filter("actor is not null")
+    """A transparent score of each person-month from its trailing counts.
+
+    People grow with the tables, but Spark takes them for small: the hint keeps them from the driver.
+    """
+    p = people(s, d).filter("actor is not null").hint("merge")
     known = pn.histories(p, pn.monthly_counts(act(s, d), p), "n")
     active = F.filter(F.sequence(F.lit(0), F.size("history") - 1), lambda k: F.get("history", k) > 0)
     known = known.withColumn("_begun", F.col("b") - pn.WARM + F.array_min(active))

@@ -27,7 +27,7 @@ def _page(s, d):
 
 def _rerank(s, d):
     c = table(s, d, "customer").select(F.col("c_custkey").alias("actor"), (F.col("c_mktsegment").isin("BUILDING", "MACHINERY") & F.col("c_nationkey").isin(1, 2, 3, 4, 5, 6, 7) & F.col("c_acctbal").between(0, 5000)).alias("fit"))
-    return op.rerank(ev.person_summary(scored(s, d)).join(c, "actor"), F.col("fit"))
+    return op.rerank(ev.person_summary(scored(s, d)).join(c.hint("merge"), "actor"), F.col("fit"))
 
 
 def _recognition(s, d):
