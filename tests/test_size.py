@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veloria import catalog
-from veloria.operators import evaluation
+from veloria.operators import evaluation, ingest
 from veloria.plans.evaluation import scored
 from veloria.plans.text import _panel
 
@@ -76,3 +76,24 @@ def _broadcast_tables(node):
 def test_no_people_are_broadcast(spark, name):
     df = _panel(spark, SF) if name == "logistic_rows" else catalog.queries()[name](spark, SF)
     assert _broadcast_tables(df._jdf.queryExecution().executedPlan()) == 0
+
+
+def test_band_pairs_are_not_shuffled(spark):
+    """Pairs are made last: no exchange, sort or window lies above the rows that are exploded into them."""
+    from hashlib import md5
+
+    def above(node):
+        name = node.nodeName()
+        return [] if name in ("Generate", "SortMergeJoin") else [name, *(x for n in _below(node) for x in above(n))]
+
+    plan = catalog.queries()["band_match_eligible"](spark, SF)._jdf.queryExecution().executedPlan()
+    assert not {"Exchange", "Sort", "Window"} & set(above(plan))
+
+    positives = [(1, 100, 10, 1995), (2, 100, 3, 1996), (3, 101, 10, 1995), (4, 100, 10, 1995), (4, 100, 10, 1995), (5, 100, 4, 1995), (5, 100, 40, 1996), (6, 100, 0, 0), (7, 100, None, 1995)]
+    candidates = [(k, 100 + k % 2, k % 23 + 3, 1993 + k % 5) for k in range(10, 90)]
+    got = ingest.band_pairs(spark.createDataFrame(positives, "actor long, cutoff long, total_events long, first_seen_year long"), spark.createDataFrame(candidates, "actor long, cutoff long, total_events long, first_seen_year long"))
+    want = []
+    for p, cutoff in sorted({r[:2] for r in positives}):
+        mine = [a for a, c, n, y in candidates for q, d, t, z in positives if (q, d) == (p, cutoff) and c == d and t is not None and 0.5 * t <= n <= 2 * t and abs(y - z) <= 1]
+        want += [(p, a, cutoff, k) for k, a in enumerate(sorted(mine, key=lambda a: (md5(str(a).encode()).hexdigest(), a)), 1)]
+    assert {r[0] for r in want} == {1, 2, 3, 4, 5} and sorted(map(tuple, got.collect())) == sorted(want)

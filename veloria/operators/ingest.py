@@ -16,6 +16,8 @@ from veloria.sources.shared import stored
 HISTORY, LEAD = 48, 12
 #: How far a positive's free candidates are rotated before the first are taken.
 MATCH_OFFSET = 17
+#: Tasks that share the positives of one cutoff.
+BAND_SLOTS = 4
 SENTINEL = "__NO_ACTIVITY__"
 
 
@@ -83,15 +85,25 @@ def hash_candidates(events: DataFrame, people: DataFrame, excluded: DataFrame, m
 def band_pairs(positives: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidates in a positive's band: same cutoff, half to twice the total, first year within one.
 
-    Both sides meet by cutoff, year and power of two of the total, so that a
-    cutoff's candidates are not compared with all of its positives.
+    Pairs are many times both sides, so they are neither shuffled nor sorted: a
+    cutoff's candidates are one array in the order of their hashes, and each
+    positive counts through those in its band.  Candidates are sent ``BAND_SLOTS`` times.
+    A positive listed twice has each candidate once for each listing, numbered on.
     """
-    power = lambda c: F.floor(F.log2(c)).cast("long")
-    x = positives.select(F.col("actor").alias("positive"), "cutoff", F.col("total_events").alias("p_total"), F.col("first_seen_year").alias("p_year"))
-    x = x.select("*", F.explode(F.sequence(power(F.col("p_total")) - 1, power(F.col("p_total")) + 1)).alias("_power")).select("*", F.explode(F.sequence(F.col("p_year") - 1, F.col("p_year") + 1)).alias("_year"))
-    rows = candidates.withColumns({"_power": power(F.col("total_events")), "_year": F.col("first_seen_year")}).join(x, ["cutoff", "_power", "_year"]).filter((F.col("total_events") >= 0.5 * F.col("p_total")) & (F.col("total_events") <= 2 * F.col("p_total")) & (F.abs(F.col("first_seen_year") - F.col("p_year")) <= 1))
-    order = Window.partitionBy("positive", "cutoff").orderBy(F.md5(F.col("actor").cast("string")), "actor")
-    return rows.select("positive", F.col("actor").alias("candidate"), "cutoff", F.row_number().over(order).cast("long").alias("order_rank"))
+    tasks = int(positives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fields = ("actor", "total_events", "first_seen_year")
+    ordered = F.sort_array(F.collect_list(F.struct(F.md5(F.col("actor").cast("string")).alias("hash"), *fields)))
+    listed = candidates.groupBy("cutoff").agg(ordered.alias("listed")).select("cutoff", F.transform("listed", lambda c: F.struct(*(c[f].alias(f) for f in fields))).alias("listed"))
+    listed = listed.select("cutoff", "listed", F.explode(F.sequence(F.lit(0), F.lit(BAND_SLOTS - 1))).alias("_slot")).repartition(tasks, "cutoff", "_slot")
+    bands = F.collect_list(F.struct((0.5 * F.col("total_events")).alias("least"), (2 * F.col("total_events")).alias("most"), F.col("first_seen_year").alias("year")))
+    x = positives.groupBy(F.col("actor").alias("positive"), "cutoff").agg(bands.alias("bands")).withColumn("_slot", F.pmod(F.hash("positive"), F.lit(BAND_SLOTS)))
+    x = x.select("*", F.inline(F.slice("bands", 1, 1))).repartition(tasks, "cutoff", "_slot")
+    within = lambda c, least, most, year: (c["total_events"] >= least) & (c["total_events"] <= most) & (F.abs(c["first_seen_year"] - year) <= 1)
+    one = F.transform(F.filter("listed", lambda c: within(c, F.col("least"), F.col("most"), F.col("year"))), lambda c: c["actor"])
+    several = F.flatten(F.transform("listed", lambda c: F.array_repeat(c["actor"], F.size(F.filter("bands", lambda p: within(c, p["least"], p["most"], p["year"]))))))
+    found = x.join(listed.hint("merge"), ["cutoff", "_slot"])
+    rows = found.select("positive", "cutoff", F.posexplode(F.when(F.size("bands") == 1, one).otherwise(several)).alias("_place", "candidate"))
+    return rows.select("positive", "candidate", "cutoff", (F.col("_place") + 1).cast("long").alias("order_rank"))
 
 
 def match_components(pairs: DataFrame) -> DataFrame:
