@@ -97,3 +97,13 @@ def test_band_pairs_are_not_shuffled(spark):
         mine = [a for a, c, n, y in candidates for q, d, t, z in positives if (q, d) == (p, cutoff) and c == d and t is not None and 0.5 * t <= n <= 2 * t and abs(y - z) <= 1]
         want += [(p, a, cutoff, k) for k, a in enumerate(sorted(mine, key=lambda a: (md5(str(a).encode()).hexdigest(), a)), 1)]
     assert {r[0] for r in want} == {1, 2, 3, 4, 5} and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+#: Queries over scored() whose whole plan, the answer's joins included, is looked at.
+WHOLE = "gbt_scores".split()
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_only_aggregates_are_broadcast(spark, name):
+    df = catalog.queries()[name](spark, SF)
+    assert broadcast_spines(df) == 0 and _broadcast_tables(df._jdf.queryExecution().executedPlan()) == 0
