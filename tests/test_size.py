@@ -100,7 +100,7 @@ def test_band_pairs_are_not_shuffled(spark):
 
 
 #: Queries over scored() whose whole plan, the answer's joins included, is looked at.
-WHOLE = "gbt_scores".split()
+WHOLE = "gbt_scores logistic_scores".split()
 
 
 @pytest.mark.parametrize("name", WHOLE)
