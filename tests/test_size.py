@@ -100,7 +100,7 @@ def test_band_pairs_are_not_shuffled(spark):
 
 
 #: Queries over scored() whose whole plan, the answer's joins included, is looked at.
-WHOLE = "gbt_scores logistic_scores matched_group_rank scrubbed_momentum axis_screen".split()
+WHOLE = "gbt_scores logistic_scores matched_group_rank scrubbed_momentum axis_screen within_month_ap".split()
 
 
 @pytest.mark.parametrize("name", WHOLE)
