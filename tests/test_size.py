@@ -100,7 +100,7 @@ def test_band_pairs_are_not_shuffled(spark):
 
 
 #: Queries over scored() whose whole plan, the answer's joins included, is looked at.
-WHOLE = "gbt_scores logistic_scores matched_group_rank scrubbed_momentum axis_screen within_month_ap budget_metrics candidate_page tie_diagnostics hybrid_score pairwise_auc precision_at_k score_percentiles thesis_rerank pilot_strata trajectory_trend tenure_cells_ap".split()
+WHOLE = "gbt_scores logistic_scores matched_group_rank scrubbed_momentum axis_screen within_month_ap budget_metrics candidate_page tie_diagnostics hybrid_score pairwise_auc precision_at_k score_percentiles thesis_rerank pilot_strata trajectory_trend tenure_cells_ap model_metrics".split()
 
 
 @pytest.mark.parametrize("name", WHOLE)
