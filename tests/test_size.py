@@ -99,6 +99,24 @@ def test_band_pairs_are_not_shuffled(spark):
     assert {r[0] for r in want} == {1, 2, 3, 4, 5} and sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_band_pairs_come_in_runs(spark, monkeypatch):
+    """Positives of one band come side by side under each candidate, so that a file of all pairs stays small."""
+    names = "actor long, cutoff long, total_events long, first_seen_year long"
+    positives = spark.createDataFrame([(k, 100, 10 + 20 * (k % 2), 1995) for k in range(600)], names)
+    candidates = spark.createDataFrame([(1000 + k, 100, 15, 1994 + k % 3) for k in range(400)], names)
+
+    def pairs():
+        return [tuple(r) for r in ingest.band_pairs(positives, candidates).collect()]
+
+    rows = pairs()
+    assert sum(a[1:] != b[1:] for a, b in zip(rows, rows[1:])) < len(rows) / 30
+    assert len(rows) == len({r[:2] for r in rows}) == len({(r[0], r[3]) for r in rows}) == 600 * 400 and {r[3] for r in rows} == set(range(1, 401))
+    assert len({r[1:] for r in rows}) == 400
+
+    monkeypatch.setattr(ingest, "BAND_GROUP", 7)  # the last of 43 groups of a band has 6 positives
+    assert sorted(pairs()) == sorted(rows)
+
+
 #: Queries over scored() whose whole plan, the answer's joins included, is looked at.
 WHOLE = "gbt_scores logistic_scores matched_group_rank scrubbed_momentum axis_screen within_month_ap budget_metrics candidate_page tie_diagnostics hybrid_score pairwise_auc precision_at_k score_percentiles thesis_rerank pilot_strata trajectory_trend tenure_cells_ap model_metrics".split()
 

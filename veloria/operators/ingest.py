@@ -16,8 +16,8 @@ from veloria.sources.shared import stored
 HISTORY, LEAD = 48, 12
 #: How far a positive's free candidates are rotated before the first are taken.
 MATCH_OFFSET = 17
-#: Tasks that share the positives of one cutoff.
-BAND_SLOTS = 4
+#: Tasks that share the positives of one cutoff, and positives of one band that are written side by side.
+BAND_SLOTS, BAND_GROUP = 4, 256
 SENTINEL = "__NO_ACTIVITY__"
 
 
@@ -86,8 +86,11 @@ def band_pairs(positives: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidates in a positive's band: same cutoff, half to twice the total, first year within one.
 
     Pairs are many times both sides, so they are neither shuffled nor sorted: a
-    cutoff's candidates are one array in the order of their hashes, and each
-    positive counts through those in its band.  Candidates are sent ``BAND_SLOTS`` times.
+    cutoff's candidates are one array in the order of their hashes, which is
+    counted through once for all positives of the same band (``BAND_GROUP`` at a
+    time).  Each candidate comes with its positives one after the other, so a
+    column store keeps candidate, cutoff and rank as runs.  Candidates are sent
+    ``BAND_SLOTS`` times.
     A positive listed twice has each candidate once for each listing, numbered on.
     """
     tasks = int(positives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -95,15 +98,18 @@ def band_pairs(positives: DataFrame, candidates: DataFrame) -> DataFrame:
     ordered = F.sort_array(F.collect_list(F.struct(F.md5(F.col("actor").cast("string")).alias("hash"), *fields)))
     listed = candidates.groupBy("cutoff").agg(ordered.alias("listed")).select("cutoff", F.transform("listed", lambda c: F.struct(*(c[f].alias(f) for f in fields))).alias("listed"))
     listed = listed.select("cutoff", "listed", F.explode(F.sequence(F.lit(0), F.lit(BAND_SLOTS - 1))).alias("_slot")).repartition(tasks, "cutoff", "_slot")
-    bands = F.collect_list(F.struct((0.5 * F.col("total_events")).alias("least"), (2 * F.col("total_events")).alias("most"), F.col("first_seen_year").alias("year")))
-    x = positives.groupBy(F.col("actor").alias("positive"), "cutoff").agg(bands.alias("bands")).withColumn("_slot", F.pmod(F.hash("positive"), F.lit(BAND_SLOTS)))
+    bands = F.sort_array(F.collect_list(F.struct((0.5 * F.col("total_events")).alias("least"), (2 * F.col("total_events")).alias("most"), F.col("first_seen_year").alias("year"))))
+    x = positives.groupBy(F.col("actor").alias("positive"), "cutoff").agg(bands.alias("bands")).groupBy("cutoff", "bands").agg(F.sort_array(F.collect_list(F.struct("positive"))).alias("positives"))
+    groups = F.transform(F.sequence(F.lit(1), F.size("positives"), F.lit(BAND_GROUP)), lambda k: F.transform(F.slice("positives", k, BAND_GROUP), lambda p: p["positive"]))
+    x = x.select("cutoff", "bands", F.posexplode(groups).alias("_group", "positives")).withColumn("_slot", F.pmod(F.hash("bands", "_group"), F.lit(BAND_SLOTS)))
     x = x.select("*", F.inline(F.slice("bands", 1, 1))).repartition(tasks, "cutoff", "_slot")
     within = lambda c, least, most, year: (c["total_events"] >= least) & (c["total_events"] <= most) & (F.abs(c["first_seen_year"] - year) <= 1)
     one = F.transform(F.filter("listed", lambda c: within(c, F.col("least"), F.col("most"), F.col("year"))), lambda c: c["actor"])
     several = F.flatten(F.transform("listed", lambda c: F.array_repeat(c["actor"], F.size(F.filter("bands", lambda p: within(c, p["least"], p["most"], p["year"]))))))
     found = x.join(listed.hint("merge"), ["cutoff", "_slot"])
-    rows = found.select("positive", "cutoff", F.posexplode(F.when(F.size("bands") == 1, one).otherwise(several)).alias("_place", "candidate"))
-    return rows.select("positive", "candidate", "cutoff", (F.col("_place") + 1).cast("long").alias("order_rank"))
+    ranked = found.select("positives", "cutoff", F.posexplode(F.when(F.size("bands") == 1, one).otherwise(several)).alias("_place", "candidate"))
+    rows = ranked.select("candidate", "cutoff", (F.col("_place") + 1).cast("long").alias("order_rank"), F.explode("positives").alias("positive"))
+    return rows.select("positive", "candidate", "cutoff", "order_rank")
 
 
 def match_components(pairs: DataFrame) -> DataFrame:
